@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearken.functions import normalize_full
 from hearken.functions.text import WHITESPACE_CLASS as WS, WORD_CLASS
+from hearken.runtime import fan_out
 
 SYSTEMS = ["a", "b", "c"]
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -19,9 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with long texts, spread over the cores while it is small."""
+    return fan_out(table(spark, sf_dir, name))
+
+
 def utt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Utterances with their truth: every turn of every conversation."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = texts(spark, sf_dir, "conversations")
     name = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
     return turns.select(
         name.alias("utt_id"),
@@ -63,7 +69,7 @@ def hyp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a test flag where one is known."""
     return (
-        table(spark, sf_dir, "documents")
+        texts(spark, sf_dir, "documents")
         .join(table(spark, sf_dir, "labels"), "doc_id", "left")
         .select("doc_id", "text", F.col("quality").alias("test"))
     )

@@ -19,7 +19,7 @@ from checks.fixtures import (
     sql_raw_words,
     sql_split,
     sql_words,
-    table,
+    texts,
     utt,
 )
 from checks.prepare_queries import INSTRUCTION_TEMPLATE, PREFERENCE_TEMPLATE
@@ -43,7 +43,7 @@ from hearken.sources import write_results_csv
 def _document_csv(spark, d):
     source = scratch_path(spark, "annotations")
     path = F.concat(F.lit("old/place/"), F.col("doc_id").cast("string"), F.lit(".wav"))
-    rows = table(spark, d, "documents").select(
+    rows = texts(spark, d, "documents").select(
         path.alias(PATH_COLUMN), F.col("text").alias(TEXT_COLUMN)
     )
     write_results_csv(rows, source)

@@ -116,20 +116,19 @@ def checkpoint(spark, d):
     return latest_checkpoint(table(spark, d, "orders").select(name.alias("name")))
 
 
-def _make_stub():
-    """A stand-in for a model: counts characters, fails on one letter."""
-
-    def stub(frame):
-        if frame["text"].str.contains("ß").any():
-            raise ValueError("cannot read this letter")
-        return frame[["text"]].assign(n_chars=frame["text"].str.len())[["n_chars"]]
+def user_scores(spark, d):
+    def make_stub():
+        """A stand-in for a model: counts characters, fails on one letter."""
 
-    return stub
+        def stub(frame):
+            if frame["text"].str.contains("ß").any():
+                raise ValueError("cannot read this letter")
+            return frame[["text"]].assign(n_chars=frame["text"].str.len())[["n_chars"]]
 
+        return stub
 
-def user_scores(spark, d):
     rows = spread(utt(spark, d).select("utt_id", "text"), "utt_id")
-    return score_batches(rows, _make_stub, ["text"], "n_chars long", keep=["utt_id"])
+    return score_batches(rows, make_stub, ["text"], "n_chars long", keep=["utt_id"])
 
 
 def sql_pairs(system: str) -> str:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.fixtures import SQL_UTT, sql_split, table, utt
+from checks.fixtures import SQL_UTT, sql_split, table, texts, utt
 from hearken.functions import normalize_full
 from hearken.operators import alphabet, ctc_vocab, exact_split, with_existing_audio
 from hearken.runtime import scratch_path
@@ -128,7 +128,7 @@ def latest_version(spark, d):
 
 
 def row_fingerprint(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text")
+    docs = texts(spark, d, "documents").select("doc_id", "lang", "text")
     return fingerprint(docs).select(
         "rows", F.col("fingerprint").cast("string").alias("fingerprint")
     )

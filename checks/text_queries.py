@@ -11,6 +11,7 @@ from checks.fixtures import (
     sql_norm,
     sql_split,
     table,
+    texts,
     utt,
 )
 from hearken.functions import (
@@ -43,7 +44,7 @@ FRAME_VOCAB = {"_": 0, "a": 1, "|": 2, "b": 3}
 
 
 def norm_docs(spark, d):
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         "doc_id", "lang", normalize_full("text").alias("text")
     )
 
@@ -65,31 +66,31 @@ def cyrillic(spark, d):
 
 
 def punct(spark, d):
-    docs = table(spark, d, "documents")
+    docs = texts(spark, d, "documents")
     return docs.select("doc_id", normalize_punct("text").alias("text"))
 
 
 def stripped(spark, d):
     padded = F.concat(F.lit(" \t "), "text", F.lit("  \n"))
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents").select(
         "doc_id", strip(padded).alias("kept_case"), strip_lower(padded).alias("lowered")
     )
 
 
 def words(spark, d):
-    docs = table(spark, d, "documents")
-    return docs.select(
+    docs = texts(spark, d, "documents")
+    return docs.select("doc_id", split_words("text").alias("w")).select(
         "doc_id",
-        F.size(split_words("text")).alias("n_words"),
-        F.md5(F.array_join(split_words("text"), "\n")).alias("words"),
+        F.size("w").alias("n_words"),
+        F.md5(F.array_join("w", "\n")).alias("words"),
     )
 
 
 def encoded(spark, d):
     vocab = collect_vocab(ctc_vocab(exact_split(norm_docs(spark, d), "doc_id").where("split = 'train'")))
-    ids = encode_chars("text", vocab)
-    return norm_docs(spark, d).select(
-        "doc_id", F.size(ids).alias("n_labels"), F.md5(joined(ids)).alias("labels")
+    labelled = norm_docs(spark, d).withColumn("ids", encode_chars("text", vocab))
+    return labelled.select(
+        "doc_id", F.size("ids").alias("n_labels"), F.md5(joined("ids")).alias("labels")
     )
 
 
@@ -114,16 +115,16 @@ def best_index(spark, d):
 
 
 def alphabet_all(spark, d):
-    return alphabet(table(spark, d, "documents"), "text")
+    return alphabet(texts(spark, d, "documents"), "text")
 
 
 def alphabet_train(spark, d):
-    train = exact_split(table(spark, d, "documents"), "doc_id").where("split = 'train'")
+    train = exact_split(texts(spark, d, "documents"), "doc_id").where("split = 'train'")
     return alphabet(train.select(normalize_full("text").alias("text")))
 
 
 def chars(spark, d):
-    return distinct_chars(table(spark, d, "documents"), "text")
+    return distinct_chars(texts(spark, d, "documents"), "text")
 
 
 def vocab_train(spark, d):
@@ -135,11 +136,11 @@ def segments(spark, d):
 
 
 def split_sizes(spark, d):
-    return exact_split(table(spark, d, "documents").select("doc_id"), "doc_id")
+    return exact_split(texts(spark, d, "documents").select("doc_id"), "doc_id")
 
 
 def batches(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    docs = texts(spark, d, "documents").select("doc_id", "n_chars")
     return length_batches(docs, "doc_id", "n_chars")
 
 

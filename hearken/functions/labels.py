@@ -24,7 +24,8 @@ IGNORED_LABEL = -100
 
 def split_chars(text: ColumnLike) -> Column:
     """Characters of a text; an empty text has none."""
-    return F.array_remove(F.split(as_column(text), ""), "")
+    text = as_column(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
 def _ids_by_code_point(vocab: Vocabulary) -> Column:

@@ -20,6 +20,11 @@ WHITESPACE_CHARS = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 WORD_CLASS = r"\p{L}\p{N}_"
+# A whitespace run. The rough zone is tested first and dismisses letters at once; the exact
+# class alone takes twice as long.
+WHITESPACE_RUN = (
+    rf"[[\x00-\x20\x{{80}}-\x{{a0}}\x{{1680}}-\x{{3000}}]&&[{WHITESPACE_CLASS}]]+"
+)
 CYRILLIC_CLASS = r"\x{0400}-\x{04FF}"
 # Fixed value: the marks removed before building a character vocabulary.
 PUNCTUATION = ',?!.-;:"«»'
@@ -28,8 +33,9 @@ PUNCTUATION = ',?!.-;:"«»'
 def normalize_full(text: ColumnLike) -> Column:
     """Lower-case, keep word characters only, single spaces, trimmed. Null gives ''."""
     lowered = F.lower(F.coalesce(as_column(text), F.lit("")))
-    words_only = F.regexp_replace(lowered, f"[^{WORD_CLASS}{WHITESPACE_CLASS}]", "")
-    return F.trim(F.regexp_replace(words_only, f"[{WHITESPACE_CLASS}]+", " "))
+    # "a-z " adds nothing to the classes, it lets the commonest characters pass quickly
+    words_only = F.regexp_replace(lowered, f"[^a-z {WORD_CLASS}{WHITESPACE_CLASS}]+", "")
+    return F.trim(F.regexp_replace(words_only, WHITESPACE_RUN, " "))
 
 
 def normalize_cyrillic(text: ColumnLike) -> Column:

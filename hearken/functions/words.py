@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-import numpy as np
+from math import isqrt
+
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
-from hearken.functions.text import WHITESPACE_CLASS
+from hearken.functions.text import WHITESPACE_RUN
 from hearken.runtime import ColumnLike, as_column, bind
 
 # Words of a pair become code points from U+10000 up, above the surrogates.
 FIRST_CODE = 0x10000
 CODE_COUNT = 0x110000 - FIRST_CODE
 
+# Above this table size an alignment rebuilds parts of its table instead of keeping them.
+BITS_KEPT = 400_000_000
+
 
 def split_words(text: ColumnLike) -> Column:
     """Words between whitespace; null and blank text have none."""
-    parts = F.split(F.coalesce(as_column(text), F.lit("")), f"[{WHITESPACE_CLASS}]+")
+    parts = F.split(F.coalesce(as_column(text), F.lit("")), WHITESPACE_RUN)
     return F.array_remove(parts, "")
 
 
@@ -57,6 +61,20 @@ def word_edits(ref: ColumnLike, hyp: ColumnLike) -> Column:
 def _alignment_udf(form: str):
     # Everything is nested so that the function travels to the workers by value.
 
+    def columns(state, text, masks, full):
+        # Myers' bit vectors as formulated by Hyyro 2003, one whole column per integer.
+        # Yields where the diagonal step is free, where the step down costs one, and the state.
+        rising, falling = state
+        for word in text:
+            at = masks.get(word, 0) | falling
+            free = ((((at & rising) + rising) ^ rising) | at) & full
+            up = falling | (full & ~(rising | free))
+            down = rising & free
+            up = (up << 1) | 1
+            rising = ((down << 1) | (full & ~(up | free))) & full
+            falling = up & free
+            yield free, rising, falling
+
     def edit_script(ref, hyp):
         a, b = ref.split(), hyp.split()
         same = 0
@@ -64,58 +82,40 @@ def _alignment_udf(form: str):
             if x != y:
                 break
             same += 1
-        a, b = a[same:], b[same:]
+        # From the back: a column then holds the costs of what is still to be aligned.
+        a, b = a[same:][::-1], b[same:][::-1]
         n, m = len(a), len(b)
-        if n == 0 or m == 0:
-            return "A" * same + "D" * n + "I" * m
-
-        ids = {}
-        x = np.array([ids.setdefault(w, len(ids)) for w in a])
-        y = np.array([ids.setdefault(w, len(ids)) for w in b])
-        ramp = np.arange(m + 1, dtype=np.int32)
-        last = ramp[::-1].copy()
-
-        def row_above(below, i):
-            # cost of aligning a[i:] with b[j:], for every j at once
-            step = below + 1
-            np.minimum(step[:m], below[1:] + (y != x[i]), out=step[:m])
-            step += ramp
-            return np.minimum.accumulate(step[::-1])[::-1] - ramp
-
-        # Keep every stride-th row and rebuild the rows between on the way down, so long
-        # texts need n * sqrt(n) cells instead of n * n.
-        stride = n if n * m <= 4_000_000 else max(1, int(n**0.5))
-        kept = {n: last}
-        row = last
-        for i in range(n - 1, -1, -1):
-            row = row_above(row, i)
-            if i % stride == 0:
-                kept[i] = row
-
-        out = []
-        j = 0
-        for top in range(0, n, stride):
-            end = min(top + stride, n)
-            rows = [kept[end]]
-            for i in range(end - 1, top - 1, -1):
-                rows.append(row_above(rows[-1], i))
-            rows.reverse()
-            i = top
-            while i < end:
-                here, below = rows[i - top], rows[i - top + 1]
-                cost = here[j]
-                if j < m and below[j + 1] + (x[i] != y[j]) == cost:
+        full = (1 << n) - 1
+        masks = {}
+        for i, word in enumerate(a):
+            masks[word] = masks.get(word, 0) | (1 << i)
+
+        # Long texts keep every stride-th state only and rebuild the columns between.
+        stride = max(1, m if n * m <= BITS_KEPT else isqrt(m))
+        states = [(full, 0)]
+        for start in range(0, m - stride, stride):
+            for _, *state in columns(states[-1], b[start : start + stride], masks, full):
+                pass
+            states.append(tuple(state))
+
+        out = ["A" * same]
+        i, j = n, m
+        while states:
+            state, start = states.pop(), len(states) * stride
+            block = list(columns(state, b[start:j], masks, full))
+            while i and j > start:
+                free, rising, _ = block[j - start - 1]
+                if a[i - 1] == b[j - 1] or not (free >> (i - 1)) & 1:
                     out.append("A")
-                    i += 1
-                    j += 1
-                elif below[j] + 1 == cost:
+                    i -= 1
+                    j -= 1
+                elif (rising >> (i - 1)) & 1:
                     out.append("D")
-                    i += 1
+                    i -= 1
                 else:
                     out.append("I")
-                    j += 1
-        out.append("I" * (m - j))
-        return "A" * same + "".join(out)
+                    j -= 1
+        return "".join(out) + "D" * i + "I" * j
 
     def slots(ref, hyp):
         words = iter(hyp.split())
@@ -128,7 +128,7 @@ def _alignment_udf(form: str):
 
     one_pair = edit_script if form == "script" else slots
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def align(ref: pd.Series, hyp: pd.Series) -> pd.Series:
         return pd.Series([one_pair(r, h) for r, h in zip(ref, hyp)], dtype=object)
 
@@ -140,11 +140,12 @@ def align_words(ref: ColumnLike, hyp: ColumnLike) -> Column:
     reference word, I inserts a hypothesis word.
 
     Among the cheapest scripts the alphabetically first one is taken, so the result does
-    not depend on the engine. The table is filled by numpy, one row at a time, in Arrow
-    batches: a nested SQL lambda needs about a hundred times longer for the same cells.
+    not depend on the engine. A column of the cost table is one integer, so a pair takes one
+    step per word, in Arrow batches. A nested SQL lambda visits every cell of the table and
+    needs hundreds of times longer.
     """
     return _alignment_udf("script")(
-        F.array_join(split_words(ref), " "), F.array_join(split_words(hyp), " ")
+        F.coalesce(as_column(ref), F.lit("")), F.coalesce(as_column(hyp), F.lit(""))
     )
 
 
@@ -156,7 +157,7 @@ def aligned_slots(ref: ColumnLike, hyp: ColumnLike) -> Column:
     word inserted behind it.
     """
     return _alignment_udf("slots")(
-        F.array_join(split_words(ref), " "), F.array_join(split_words(hyp), " ")
+        F.coalesce(as_column(ref), F.lit("")), F.coalesce(as_column(hyp), F.lit(""))
     )
 
 

@@ -33,6 +33,7 @@ from hearken.operators import (
     select_dropna,
     to_canonical,
 )
+from hearken.runtime import fan_out
 from hearken.sources import (
     materialize_once,
     publish_version,
@@ -96,7 +97,9 @@ def prepare_corpus(
     """
 
     def clean() -> DataFrame:
-        raw = read_annotations_csv(spark, source_csv, annotation_schema(path_column, text_column))
+        raw = fan_out(
+            read_annotations_csv(spark, source_csv, annotation_schema(path_column, text_column))
+        )
         rows = raw.select(
             rebase_path(F.col(f"`{path_column}`"), audio_folder).alias("path"),
             normalize_full(F.col(f"`{text_column}`")).alias("text"),
@@ -143,7 +146,9 @@ def prepare_json_corpus(
     """Annotation JSON to Cyrillic-only manifests and an alphabet over all rows."""
 
     def clean() -> DataFrame:
-        raw = select_dropna(read_annotations_json(spark, source_json), ["audio_path", "text"])
+        raw = select_dropna(
+            fan_out(read_annotations_json(spark, source_json)), ["audio_path", "text"]
+        )
         return raw.withColumn("text", normalize_cyrillic("text"))
 
     cleaned = materialize_once(spark, f"{out}/clean", clean)
@@ -172,7 +177,7 @@ def prepare_flagged_corpus(
 
     def clean() -> DataFrame:
         schema = annotation_schema(path_column, text_column, flag_column)
-        raw = read_annotations_csv(spark, source_csv, schema, null_values)
+        raw = fan_out(read_annotations_csv(spark, source_csv, schema, null_values))
         rows = to_canonical(
             select_dropna(raw, names), {path_column: "audio", text_column: "text", flag_column: "test"}
         ).withColumns({"audio": prefix_path("audio", audio_root), "text": normalize_punct("text")})

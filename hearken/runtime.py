@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ColumnLike = Column | str
 
+FAN_OUT_BYTES = 1 << 30
+
 
 def as_column(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -38,18 +40,31 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_width(df.sparkSession), *keys)
 
 
+def fan_out(scan: DataFrame) -> DataFrame:
+    """Give every core a share of an input that arrives in few tasks.
+
+    A small file with one row group, or a CSV with line breaks in its texts, is one task
+    however many cores wait for it. Only inputs below `FAN_OUT_BYTES` are redistributed, so
+    the price has a fixed bound; anything larger has many splits and is left alone.
+    """
+    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) >= FAN_OUT_BYTES:
+        return scan
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by `spark.checkpoint.dir`.
 
     Only a local master may fall back to a temporary folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     fallback = tempfile.mkdtemp(prefix="hearken-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
+    spark.sparkContext.setCheckpointDir(fallback)
     return fallback
 
 

@@ -31,8 +31,8 @@ def read_annotations_csv(
     """CSV with a header, any Unicode column names and quoted text.
 
     The columns of `schema` are found by name, in any order and among others; only they are
-    parsed. Words in `null_values` become null, an empty field is null already, and a value
-    that does not fit its type is null too.
+    parsed. Words in `null_values` become null, an empty field is null already, quoted or not, and
+    a value that does not fit its type is null too.
 
     With `multi_line` a quoted text may hold line breaks, but each file is then one task:
     split a large corpus into many files, or turn it off where texts are single lines.
