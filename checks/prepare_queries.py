@@ -39,7 +39,6 @@ from hearken.operators import (
     exact_split,
     first_of_split,
     instruction_text,
-    mark_existing_audio,
     missing_audio,
     preference_triples,
     prep_report,
@@ -178,10 +177,6 @@ def missing(spark, d):
     return missing_audio(clips(spark, d), present(spark, d)).select("doc_id", "path")
 
 
-def marked(spark, d):
-    return mark_existing_audio(clips(spark, d), present(spark, d)).select("path", "exists")
-
-
 def attached(spark, d):
     corrected = hyp(spark, d).where("system = 'c'").select("utt_id", F.col("hyp").alias("out"))
     return attach_outputs(_wide(spark, d).select("utt_id", "a"), corrected)
@@ -288,11 +283,6 @@ QUERIES = {
         missing,
         f"with {SQL_CLIPS} select doc_id, path from clips anti join present using (path)",
     ),
-    "mark_existing_audio": (
-        marked,
-        f"""with {SQL_CLIPS} select path, path in (select path from present) as exists
-        from clips""",
-    ),
     "assemble_hypotheses": (
         _wide,
         f"with {SQL_UTT}, {SQL_HYP}, {SQL_WIDE} select * from wide",

@@ -31,17 +31,16 @@ from hearken.operators import (
     wer_by_system,
     wer_of_columns,
 )
-from hearken.runtime import spread
 
 
 def pairs(spark, d, system):
-    heard = spread(hyp(spark, d).where(F.col("system") == system), "utt_id")
+    heard = hyp(spark, d).where(F.col("system") == system)
     return attach_outputs(heard, utt(spark, d).select("utt_id", "ref", "text"))
 
 
 def wide(spark, d):
     refs = utt(spark, d).select("utt_id", "ref")
-    return spread(assemble_hypotheses(refs, hyp(spark, d), SYSTEMS), "utt_id")
+    return assemble_hypotheses(refs, hyp(spark, d), SYSTEMS)
 
 
 def edits(spark, d):
@@ -127,7 +126,7 @@ def user_scores(spark, d):
 
         return stub
 
-    rows = spread(utt(spark, d).select("utt_id", "text"), "utt_id")
+    rows = utt(spark, d).select("utt_id", "text")
     return score_batches(rows, make_stub, ["text"], "n_chars long", keep=["utt_id"])
 
 

@@ -22,6 +22,7 @@ from hearken.functions.words import (
     percent,
     split_words,
     word_edits,
+    word_list_edits,
 )
 
 __all__ = [
@@ -46,4 +47,5 @@ __all__ = [
     "strip_lower",
     "unmask_decode",
     "word_edits",
+    "word_list_edits",
 ]

@@ -32,30 +32,28 @@ def _as_code_points(words: Column, vocabulary: Column) -> Column:
     return F.decode(F.unhex(F.array_join(codes, "")), "UTF-32")
 
 
-def word_edits(ref: ColumnLike, hyp: ColumnLike) -> Column:
-    """Word-level Levenshtein distance of two texts, JVM-side.
+def word_list_edits(ref: ColumnLike, hyp: ColumnLike) -> Column:
+    """Levenshtein distance of two word arrays, JVM-side.
 
     Each distinct word of the pair is given one character, and the built-in character
     distance does the quadratic part in compiled code.
     """
     ref, hyp = as_column(ref), as_column(hyp)
-    pair = F.struct(split_words(ref).alias("r"), split_words(hyp).alias("h"))
 
-    def distance(p: Column) -> Column:
-        known = F.struct(
-            p["r"].alias("r"), p["h"].alias("h"), F.array_union(p["r"], p["h"]).alias("v")
-        )
-        return bind(
-            known,
-            lambda k: F.when(
-                F.size(k["v"]) > CODE_COUNT,
-                F.raise_error(F.lit("more distinct words in one pair than code points")).cast("int"),
-            ).otherwise(
-                F.levenshtein(_as_code_points(k["r"], k["v"]), _as_code_points(k["h"], k["v"]))
-            ),
+    def distance(k: Column) -> Column:
+        too_many = F.raise_error(F.lit("more distinct words in one pair than code points"))
+        return F.when(F.size(k["v"]) > CODE_COUNT, too_many.cast("int")).otherwise(
+            F.levenshtein(_as_code_points(k["r"], k["v"]), _as_code_points(k["h"], k["v"]))
         )
 
-    return F.when(ref == hyp, F.lit(0)).otherwise(bind(pair, distance))
+    known = F.struct(ref.alias("r"), hyp.alias("h"), F.array_union(ref, hyp).alias("v"))
+    return F.when(ref == hyp, F.lit(0)).otherwise(bind(known, distance))
+
+
+def word_edits(ref: ColumnLike, hyp: ColumnLike) -> Column:
+    """Word-level Levenshtein distance of two texts."""
+    pair = F.struct(split_words(ref).alias("r"), split_words(hyp).alias("h"))
+    return bind(pair, lambda p: word_list_edits(p["r"], p["h"]))
 
 
 def _alignment_udf(form: str):

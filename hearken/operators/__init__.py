@@ -16,7 +16,6 @@ from hearken.operators.prepare import (
     by_flag,
     drop_empty,
     first_of_split,
-    mark_existing_audio,
     missing_audio,
     prep_report,
     require_columns,
@@ -56,7 +55,6 @@ __all__ = [
     "latest_checkpoint",
     "length_batches",
     "lookup_ids",
-    "mark_existing_audio",
     "missing_audio",
     "pad_batch",
     "preference_triples",

@@ -63,7 +63,10 @@ def bundle_splits(train: DataFrame, evaluation: DataFrame) -> DataFrame:
 
 
 def with_existing_audio(df: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
-    """Rows whose clip is in the listing."""
+    """Rows whose clip is in the listing.
+
+    A plain semi join: adaptive execution splits a path that many rows share.
+    """
     return df.join(files.select(path), path, "left_semi")
 
 
@@ -72,14 +75,6 @@ def missing_audio(df: DataFrame, files: DataFrame, path: str = "path") -> DataFr
     return df.join(files.select(path), path, "left_anti")
 
 
-def mark_existing_audio(
-    df: DataFrame, files: DataFrame, path: str = "path", column: str = "exists"
-) -> DataFrame:
-    """Flag instead of filter, for jobs that need both the rows and the skip report."""
-    found = files.select(path).distinct().withColumn(column, F.lit(True))
-    return df.join(found, path, "left").withColumn(column, F.coalesce(column, F.lit(False)))
-
-
 def prep_report(
     df: DataFrame,
     kept: ColumnLike,

@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearken.functions.words import split_words, word_edits
-from hearken.runtime import ColumnLike, spread
+from hearken.functions.words import split_words, word_edits, word_list_edits
+from hearken.runtime import ColumnLike
 
 Normalizer = Callable[[ColumnLike], Column]
 
@@ -37,12 +37,13 @@ def utterance_edits(
     if normalizer is not None:
         refs = refs.withColumn(ref, normalizer(ref))
         hyps = hyps.withColumn(hyp, normalizer(hyp))
-    pairs = spread(hyps, key).join(refs.select(key, ref), key)
-    return pairs.select(
+    pairs = hyps.join(refs.select(key, ref), key)
+    words = pairs.select(key, "system", split_words(ref).alias("r"), split_words(hyp).alias("h"))
+    return words.select(
         key,
         "system",
-        word_edits(ref, hyp).alias("edits"),
-        F.size(split_words(ref)).alias("ref_words"),
+        word_list_edits("r", "h").alias("edits"),
+        F.size("r").alias("ref_words"),
     )
 
 
@@ -79,6 +80,10 @@ def wer_of_columns(
 ) -> DataFrame:
     """Summary `(system, wer)` over hypothesis columns, all of them in one pass."""
     clean = normalizer or F.col
-    wide = df.select(clean(ref).alias("_ref"), *[clean(s).alias(s) for s in systems])
-    scores = wide.agg(*[corpus_wer("_ref", s).alias(s) for s in systems])
+    words = df.select(
+        split_words(clean(ref)).alias("_ref"), *[split_words(clean(s)).alias(s) for s in systems]
+    )
+    scores = words.agg(
+        *[pooled_wer(word_list_edits("_ref", s), F.size("_ref")).alias(s) for s in systems]
+    )
     return scores.unpivot([], list(systems), "system", "wer")

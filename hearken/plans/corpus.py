@@ -28,10 +28,11 @@ from hearken.operators import (
     ctc_vocab,
     drop_empty,
     exact_split,
-    mark_existing_audio,
+    missing_audio,
     prep_report,
     select_dropna,
     to_canonical,
+    with_existing_audio,
 )
 from hearken.runtime import fan_out
 from hearken.sources import (
@@ -89,7 +90,7 @@ def prepare_corpus(
     seed: int = 42,
     cwd: str = "/",
     version_root: str | None = None,
-    version_name: str = "asr_datasets",
+    version_name: str = "corpus",
 ) -> PreparedCorpus:
     """Annotation CSV to records, manifests and alphabet of an exact train/test split.
 
@@ -104,27 +105,25 @@ def prepare_corpus(
             rebase_path(F.col(f"`{path_column}`"), audio_folder).alias("path"),
             normalize_full(F.col(f"`{text_column}`")).alias("text"),
         )
-        rows = drop_empty(rows.na.drop("any", subset=["path"]), "text")
-        return mark_existing_audio(rows, files)
+        return drop_empty(rows.na.drop("any", subset=["path"]), "text")
 
     cleaned = materialize_once(spark, f"{out}/clean", clean)
+    found = with_existing_audio(cleaned, files)
     corpus = materialize_once(
-        spark,
-        f"{out}/corpus",
-        lambda: exact_split(cleaned.where("exists").drop("exists"), "path", test_size, seed),
+        spark, f"{out}/corpus", lambda: exact_split(found, "path", test_size, seed)
     )
     write_split_jsonl(corpus, f"{out}/records", "path", "text")
     write_manifest(corpus, f"{out}/manifest", absolute_path("path", cwd), "text")
     chars = alphabet(by_part(corpus, "train"), "text")
     write_alphabet(chars, f"{out}/alphabet")
-    found = cleaned.agg(F.count("*").alias("rows_clean"), F.count_if("exists").alias("rows_found"))
-    sizes = prep_report(corpus, F.lit(True), "split").drop("rows_read")
+    rows_clean = cleaned.agg(F.count("*")).scalar()
+    report = prep_report(corpus, F.lit(True), "split").withColumnRenamed("rows_kept", "rows_found")
     records = read_jsonl(spark, f"{out}/records", f"{SPLIT_RECORD_SCHEMA}, split string")
     version = publish_version(records, version_root, version_name) if version_root else None
     return PreparedCorpus(
         records=records,
-        report=found.join(sizes, found["rows_found"] == sizes["rows_kept"]).drop("rows_kept"),
-        missing=cleaned.where("not exists").select("path"),
+        report=report.drop("rows_read").withColumn("rows_clean", rows_clean),
+        missing=missing_audio(cleaned.select("path"), files),
         alphabet=chars,
         version=version,
     )

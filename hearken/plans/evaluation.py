@@ -17,7 +17,7 @@ from hearken.operators import (
     wer_of_columns,
     with_existing_audio,
 )
-from hearken.runtime import spread
+from hearken.runtime import fan_out
 from hearken.sources import load_dataset_dir, save_dataset, write_results_csv
 
 
@@ -42,7 +42,7 @@ def evaluate_systems(
     `hyps` is long, `(key, system, hyp)`; `corrected` holds `(key, corrected)`. Voting and
     scoring use the details table as written, so the alignment is done once.
     """
-    wide = spread(assemble_hypotheses(refs.select(key, ref), hyps, systems, key), key)
+    wide = assemble_hypotheses(refs.select(key, ref), hyps, systems, key)
     scored = [*systems, "rover"]
     clean = wide.withColumns({c: normalize_full(c) for c in [ref, *systems]})
     voted = rover(clean, systems, tie)
@@ -51,7 +51,7 @@ def evaluate_systems(
         voted = attach_outputs(voted, outputs, key)
         scored.append("corrected")
     save_dataset(voted, f"{out}/details")
-    details = load_dataset_dir(refs.sparkSession, f"{out}/details")
+    details = fan_out(load_dataset_dir(refs.sparkSession, f"{out}/details"))
     write_results_csv(details, f"{out}/details_csv")
     return Evaluation(details, wer_of_columns(details, ref, scored))
 
@@ -84,6 +84,6 @@ def evaluate_raw(
     passed, _ = split_errors(outputs, F.col("error").isNotNull())
     wide = assemble_hypotheses(present, passed, systems, "audio")
     save_dataset(wide, f"{out}/details")
-    details = load_dataset_dir(annotations.sparkSession, f"{out}/details")
+    details = fan_out(load_dataset_dir(annotations.sparkSession, f"{out}/details"))
     write_results_csv(details, f"{out}/details_csv", bom)
     return Evaluation(details, wer_of_columns(details, "ground_truth", systems))

@@ -27,7 +27,7 @@ def build_preference_set(
     template: str,
     path: str,
     version_root: str | None = None,
-    version_name: str = "dpo_dataset",
+    version_name: str = "preferences",
 ) -> DataFrame:
     """Preference triples of the training records, stored and optionally published."""
     pairs = machine_texts(records, segments)

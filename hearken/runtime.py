@@ -26,20 +26,6 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over the session's full shuffle width.
-
-    Word alignment is quadratic per row, so a few megabytes are minutes of work. A fixed
-    partition count keeps adaptive execution from merging such small but slow partitions.
-    Later joins and groupings on the same keys reuse this distribution.
-    """
-    return df.repartition(shuffle_width(df.sparkSession), *keys)
-
-
 def fan_out(scan: DataFrame) -> DataFrame:
     """Give every core a share of an input that arrives in few tasks.
 
