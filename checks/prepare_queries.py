@@ -45,6 +45,7 @@ from hearken.operators import (
     render_turns,
     require_columns,
     select_dropna,
+    split_by_flag,
     split_errors,
     to_canonical,
     with_existing_audio,
@@ -193,6 +194,10 @@ def bundled(spark, d):
     return both.select("doc_id", "split")
 
 
+def flag_split(spark, d):
+    return split_by_flag(lab(spark, d), "test").select("doc_id", "split")
+
+
 def look(spark, d):
     return first_of_split(exact_split(utt(spark, d), "utt_id"), "test", 5).select("utt_id", "ref")
 
@@ -303,6 +308,11 @@ QUERIES = {
         f"""with {SQL_LAB} select doc_id, case test when 0 then 'train' else 'eval' end as split
         from lab where test in (0,1)""",
     ),
+    "split_by_flag": (
+        flag_split,
+        f"""with {SQL_LAB} select doc_id, case test when 0 then 'train' else 'eval' end as split
+        from lab where test in (0,1)""",
+    ),
     "first_of_split": (
         look,
         f"""with {SQL_UTT}, s as ({sql_split('utt', 'utt_id')})

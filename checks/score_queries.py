@@ -17,7 +17,7 @@ from checks.fixtures import (
     table,
     utt,
 )
-from hearken.functions import align_words, edit_detail, normalize_full, percent
+from hearken.functions import align_words, normalize_full, percent
 from hearken.operators import (
     assemble_hypotheses,
     attach_outputs,
@@ -52,10 +52,8 @@ def scripts(spark, d):
 
 
 def detail(spark, d):
-    aligned = pairs(spark, d, "b").withColumn("script", align_words("ref", "hyp"))
-    return aligned.select("utt_id", edit_detail("ref", "hyp", "script").alias("e")).select(
-        "utt_id", "e.*"
-    )
+    heard = hyp(spark, d).where("system = 'b'")
+    return utterance_edits(heard, utt(spark, d), detail=True).drop("system")
 
 
 def pooled(spark, d):

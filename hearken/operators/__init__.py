@@ -20,6 +20,7 @@ from hearken.operators.prepare import (
     prep_report,
     require_columns,
     select_dropna,
+    split_by_flag,
     split_errors,
     to_canonical,
     with_existing_audio,
@@ -64,6 +65,7 @@ __all__ = [
     "rover",
     "score_batches",
     "select_dropna",
+    "split_by_flag",
     "split_errors",
     "to_canonical",
     "utterance_edits",

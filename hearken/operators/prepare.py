@@ -37,6 +37,16 @@ def by_flag(df: DataFrame, flag: str, value: int) -> DataFrame:
     return df.where(F.col(f"`{flag}`") == value)
 
 
+def split_by_flag(
+    df: DataFrame, flag: str, parts: tuple[str, str] = ("train", "eval"), split: str = "split"
+) -> DataFrame:
+    """Both parts of a predefined split in one pass: flag 0 and flag 1, other rows are left out."""
+    column = F.col(f"`{flag}`")
+    return df.where(column.isin(0, 1)).withColumn(
+        split, F.when(column == 0, parts[0]).otherwise(parts[1])
+    )
+
+
 def assert_split(
     df: DataFrame, split: str = "split", parts: Sequence[str] = ("train", "eval")
 ) -> DataFrame:

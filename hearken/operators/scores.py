@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearken.functions.words import split_words, word_edits, word_list_edits
+from hearken.functions.words import edit_detail, split_words, word_edits, word_list_edits
 from hearken.runtime import ColumnLike
 
 Normalizer = Callable[[ColumnLike], Column]
@@ -32,12 +32,19 @@ def utterance_edits(
     key: str = "utt_id",
     ref: str = "ref",
     hyp: str = "hyp",
+    detail: bool = False,
 ) -> DataFrame:
-    """Edits and reference length per utterance and system, from long hypotheses."""
+    """Edits and reference length per utterance and system, from long hypotheses.
+
+    `detail` adds substitutions, deletions and insertions.
+    """
     if normalizer is not None:
         refs = refs.withColumn(ref, normalizer(ref))
         hyps = hyps.withColumn(hyp, normalizer(hyp))
     pairs = hyps.join(refs.select(key, ref), key)
+    if detail:
+        counted = pairs.select(key, "system", edit_detail(ref, hyp).alias("_e"))
+        return counted.select(key, "system", "_e.*")
     words = pairs.select(key, "system", split_words(ref).alias("r"), split_words(hyp).alias("h"))
     return words.select(
         key,

@@ -11,7 +11,8 @@ PREFIX_DIGITS = 4
 
 
 def _hash(key: ColumnLike, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), as_column(key).cast("string")))
+    text = F.coalesce(as_column(key).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), text))
 
 
 def _cutoff(hashes: DataFrame, test_size: float) -> Column:

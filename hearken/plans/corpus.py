@@ -22,8 +22,6 @@ from hearken.functions import (
 from hearken.operators import (
     alphabet,
     assert_split,
-    bundle_splits,
-    by_flag,
     collect_vocab,
     ctc_vocab,
     drop_empty,
@@ -31,6 +29,7 @@ from hearken.operators import (
     missing_audio,
     prep_report,
     select_dropna,
+    split_by_flag,
     to_canonical,
     with_existing_audio,
 )
@@ -119,7 +118,10 @@ def prepare_corpus(
     rows_clean = cleaned.agg(F.count("*")).scalar()
     report = prep_report(corpus, F.lit(True), "split").withColumnRenamed("rows_kept", "rows_found")
     records = read_jsonl(spark, f"{out}/records", f"{SPLIT_RECORD_SCHEMA}, split string")
-    version = publish_version(records, version_root, version_name) if version_root else None
+    version = None
+    if version_root:
+        published = to_canonical(corpus, {"path": "audio", "text": "transcription"})
+        version = publish_version(published, version_root, version_name)
     return PreparedCorpus(
         records=records,
         report=report.drop("rows_read").withColumn("rows_clean", rows_clean),
@@ -180,7 +182,7 @@ def prepare_flagged_corpus(
         rows = to_canonical(
             select_dropna(raw, names), {path_column: "audio", text_column: "text", flag_column: "test"}
         ).withColumns({"audio": prefix_path("audio", audio_root), "text": normalize_punct("text")})
-        return bundle_splits(by_flag(rows, "test", 0), by_flag(rows, "test", 1)).drop("test")
+        return split_by_flag(rows, "test").drop("test")
 
     corpus = assert_split(materialize_once(spark, f"{out}/corpus", clean))
     vocab = materialize_once(

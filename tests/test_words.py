@@ -41,13 +41,15 @@ WORDS = st.lists(st.sampled_from(["а", "б", "v", "дом", "12"]), max_size=9)
 def test_edits_and_scripts(spark, pairs):
     rows = [(i, " ".join(r), " ".join(h)) for i, (r, h) in enumerate(pairs)]
     df = spark.createDataFrame(rows, "i int, r string, h string")
-    df = df.withColumn("script", align_words("r", "h"))
-    got = df.select("i", "script", edit_detail("r", "h", "script").alias("d")).collect()
+    got = df.select(
+        "i", align_words("r", "h").alias("script"), edit_detail("r", "h").alias("d"),
+        word_edits("r", "h").alias("edits"),
+    ).collect()
     for row in got:
         ref, hyp = pairs[row["i"]]
         cost, script = least_script(ref, hyp)
         d = row["d"]
-        assert (d["edits"], row["script"]) == (cost, script)
+        assert (d["edits"], row["edits"], row["script"]) == (cost, cost, script)
         assert d["substitutions"] + d["deletions"] + d["insertions"] == cost
         assert min(d["substitutions"], d["deletions"], d["insertions"]) >= 0
         assert d["ref_words"] == len(ref)
