@@ -22,7 +22,6 @@ from hearken.functions.words import (
     percent,
     split_words,
     word_edits,
-    word_list_edits,
 )
 
 __all__ = [
@@ -47,5 +46,4 @@ __all__ = [
     "strip_lower",
     "unmask_decode",
     "word_edits",
-    "word_list_edits",
 ]

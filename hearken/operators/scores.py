@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearken.functions.words import edit_detail, split_words, word_edits, word_list_edits
+from hearken.functions.words import edit_detail, split_words, word_edits
 from hearken.runtime import ColumnLike
 
 Normalizer = Callable[[ColumnLike], Column]
@@ -45,12 +45,11 @@ def utterance_edits(
     if detail:
         counted = pairs.select(key, "system", edit_detail(ref, hyp).alias("_e"))
         return counted.select(key, "system", "_e.*")
-    words = pairs.select(key, "system", split_words(ref).alias("r"), split_words(hyp).alias("h"))
-    return words.select(
+    return pairs.select(
         key,
         "system",
-        word_list_edits("r", "h").alias("edits"),
-        F.size("r").alias("ref_words"),
+        word_edits(ref, hyp).alias("edits"),
+        F.size(split_words(ref)).alias("ref_words"),
     )
 
 
@@ -87,10 +86,10 @@ def wer_of_columns(
 ) -> DataFrame:
     """Summary `(system, wer)` over hypothesis columns, all of them in one pass."""
     clean = normalizer or F.col
-    words = df.select(
-        split_words(clean(ref)).alias("_ref"), *[split_words(clean(s)).alias(s) for s in systems]
-    )
-    scores = words.agg(
-        *[pooled_wer(word_list_edits("_ref", s), F.size("_ref")).alias(s) for s in systems]
+    texts = df.select(clean(ref).alias("_ref"), *[clean(s).alias(s) for s in systems])
+    counts = texts.select(
+        F.size(split_words("_ref")).alias("_words"),
+        *[word_edits("_ref", s).alias(s) for s in systems],
     )
+    scores = counts.agg(*[pooled_wer(s, "_words").alias(s) for s in systems])
     return scores.unpivot([], list(systems), "system", "wer")
