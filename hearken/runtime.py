@@ -17,10 +17,6 @@ def as_column(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def column_name(df: DataFrame, value: ColumnLike) -> str:
-    return value if isinstance(value, str) else df.select(value).columns[0]
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate `value` once and hand it to `body`, which may use it many times."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from hearken import runtime
 from hearken.operators import alphabet, ctc_vocab
