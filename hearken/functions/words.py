@@ -11,7 +11,7 @@ from hearken.functions.text import WHITESPACE_RUN
 from hearken.runtime import ColumnLike, as_column, bind
 
 # Above this table size an alignment rebuilds parts of its table instead of keeping them.
-BITS_KEPT = 400_000_000
+BITS_KEPT = 100_000_000
 
 
 def split_words(text: ColumnLike) -> Column:
