@@ -7,7 +7,8 @@ threshold. The join is exact:
 2. Each class is put under the keys of its prefix: its rarest shingles, as many as a partner
    must share one of (prefix filter). Rarity comes from a table of counters of fixed size over
    all documents; any order is right, a good one keeps the classes of a key few.
-3. Keys with the same classes are one block. A block is cut into parts of bounded size, and
+3. Keys with the same classes are one block, of which classes without a partner near their
+   size are left out. A block is cut into parts of bounded size, and
    each pair of parts is a task of its own, so a hot key is spread over many tasks.
 4. In a task a signature tree is built over each part: nodes hold OR-combined bitmaps of their
    shingles and the range of set sizes. Both trees are walked together, dropping node pairs
@@ -19,6 +20,7 @@ threshold. The join is exact:
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from hearken.llm.common import shingle_sets, stored, text_slices
 from hearken.llm.components import components
 
-COUNTERS = 1 << 19
+COUNTERS = 1 << 20
 COUNTERS_PER_ROW = 1 << 14
 FAN_OUT = 16
 PART_DOCS = 512
@@ -192,7 +194,7 @@ def _sum_counts(frames):
 def shingle_counters(docs: DataFrame, width: int) -> np.ndarray:
     """How many documents have shingles of each of COUNTERS hash classes, over all documents.
 
-    COUNTERS numbers whatever the size of the corpus (2 MiB), so each task may have a copy.
+    COUNTERS numbers whatever the size of the corpus (4 MiB), so each task may have a copy.
     """
     rows = (
         docs.select("text")
@@ -298,22 +300,31 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = keys.repartition("key")
     shared = keys.groupBy("key").agg(
         F.count("id").alias("members"),
-        F.sum("n").alias("shingles"),
         F.expr("bit_xor(xxhash64(id))").alias("x"),
         F.expr("bit_xor(xxhash64(id, 1))").alias("y"),
     )
     shared = shared.where("members > 1")
-    shared = stored(
-        keys.join(shared, "key").select("key", "id", "members", "shingles", "x", "y"), "keys"
+    shared = stored(keys.join(shared, "key").select("key", "id", "n", "members", "x", "y"), "keys")
+    blocks = shared.groupBy("members", "x", "y").agg(F.min("key").alias("key")).select("key")
+    # sizes in steps of half the greatest ratio: partners are at most two steps apart
+    step = F.floor(F.log(F.col("n")) * (2 / math.log(100 / percent))) if percent < 100 else F.col("n")
+    members = shared.join(blocks, "key").select("key", "id", "n", step.alias("step"))
+    near = (
+        members.groupBy("key", "step")
+        .count()
+        .select("key", F.explode(F.expr("sequence(step - 2, step + 2)")).alias("step"), "count")
+        .groupBy("key", "step")
+        .agg(F.sum("count").alias("near"))
+        .where("near > 1")
     )
-    blocks = shared.groupBy("members", "x", "y").agg(
-        F.min("key").alias("key"),
+    members = stored(members.join(near, ["key", "step"]).select("key", "id", "n"), "members")
+    parts = members.groupBy("key").agg(
         F.greatest(
-            F.ceil(F.first("members") / PART_DOCS), F.ceil(F.first("shingles") / PART_SHINGLES)
-        ).alias("parts"),
+            F.ceil(F.count("id") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)
+        ).alias("parts")
     )
     members = (
-        shared.join(blocks.select("key", "parts"), "key")
+        members.join(parts, "key")
         .withColumn("part", F.expr("pmod(xxhash64(id, key), parts)"))
         .withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)")))
         .select(
