@@ -12,8 +12,10 @@ threshold. The join is exact:
    each pair of parts is a task of its own, so a hot key is spread over many tasks.
 4. In a task a signature tree is built over each part: nodes hold OR-combined bitmaps of their
    shingles and the range of set sizes. Both trees are walked together, dropping node pairs
-   whose greatest possible overlap is too small; what is left is compared exactly. A pair whose
-   sides are already connected adds nothing and is skipped.
+   whose greatest possible overlap is too small. This is done twice: over the prefixes, which
+   finds the few classes that may have a partner, then over the whole sets of these, where
+   what is left is compared exactly. A pair whose sides are already connected adds nothing and
+   is skipped.
 5. Components of the links are found by rounds of grouped minima.
 """
 
@@ -40,41 +42,105 @@ PAIRS_AT_ONCE = 1 << 14
 
 
 class SignatureTree:
-    """Levels of nodes over sets; level 0 are the sets, each node above stands for FAN_OUT below."""
+    """Levels of nodes over sets; level 0 are the sets, each node above stands for FAN_OUT below.
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        sizes = np.array([len(sets[i]) for i in self.order], np.int64)
-        maps = np.zeros((len(sets), bits), bool)
+    A node has the OR of its sets' bitmaps, the range of their sizes, the most shingles that a
+    set has beyond its bits, and the most that are outside the given part of a set.
+    """
+
+    def __init__(self, parts: list[np.ndarray], sizes: list[int], bits: int):
+        self.order = sorted(range(len(parts)), key=lambda i: (sizes[i], int(parts[i][0])))
+        size = np.array([sizes[i] for i in self.order], np.int64)
+        given = np.array([len(parts[i]) for i in self.order], np.int64)
+        maps = np.zeros((len(parts), bits), bool)
         for row, i in enumerate(self.order):
-            maps[row, sets[i] & np.uint64(bits - 1)] = True
-        # shingles of a set beyond its bits: so many more may be shared than bits are
-        hidden = sizes - maps.sum(axis=1)
+            maps[row, parts[i] & np.uint64(bits - 1)] = True
+        hidden = given - maps.sum(axis=1)
         packed = np.packbits(maps, axis=1).view(np.uint64)
-        self.levels = [(packed, sizes, sizes, hidden)]
+        self.levels = [(packed, size, size, hidden, size - given)]
         while len(self.levels[-1][1]) > FAN_OUT:
-            maps_, low, high, hid = self.levels[-1]
+            maps, low, high, hidden, rest = self.levels[-1]
             cut = np.arange(0, len(low), FAN_OUT)
             self.levels.append(
                 (
-                    np.bitwise_or.reduceat(maps_, cut, axis=0),
+                    np.bitwise_or.reduceat(maps, cut, axis=0),
                     np.minimum.reduceat(low, cut),
                     np.maximum.reduceat(high, cut),
-                    np.maximum.reduceat(hid, cut),
+                    np.maximum.reduceat(hidden, cut),
+                    np.maximum.reduceat(rest, cut),
                 )
             )
 
     def possible(self, other: SignatureTree, level: int, a, b, percent: int) -> np.ndarray:
-        """Which node pairs may hold a pair that links."""
-        maps_a, low_a, high_a, hid_a = self.levels[level]
-        maps_b, low_b, high_b, hid_b = other.levels[level]
-        low_a, high_a, low_b, high_b = low_a[a], high_a[a], low_b[b], high_b[b]
+        """Which node pairs may hold a pair that links.
+
+        If the parts are the rarest shingles, the set whose part ends earlier shares what its
+        part shares, and at most all outside it.
+        """
+        maps_a, low_a, high_a, hidden_a, rest_a = (x[a] for x in self.levels[level])
+        maps_b, low_b, high_b, hidden_b, rest_b = (x[b] for x in other.levels[level])
         keep = (percent * low_a <= 100 * high_b) & (percent * low_b <= 100 * high_a)
-        shared = np.bitwise_count(maps_a[a] & maps_b[b]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(np.minimum(high_a, high_b), shared + np.minimum(hid_a[a], hid_b[b]))
+        shared = np.bitwise_count(maps_a & maps_b).sum(axis=1, dtype=np.int64)
+        most = shared + np.minimum(hidden_a, hidden_b) + np.maximum(rest_a, rest_b)
+        most = np.minimum(most, np.minimum(high_a, high_b))
         return keep & ((100 + percent) * most >= percent * (low_a + low_b))
 
 
+def possible_pairs(
+    left: list[np.ndarray],
+    right: list[np.ndarray] | None,
+    sizes: list[int],
+    percent: int,
+    wanted=None,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Walk the trees over `left` and `right` (or `left` and itself) together.
+
+    Yields arrays of numbers of sets, those of `right` after those of `left`, of all pairs
+    whose possible overlap suffices and for which `wanted(a, b)` holds, if given.
+    """
+    n = len(left)
+    longest = max(len(x) for x in left + (right or []))
+    bits = max(256, 1 << (4 * longest - 1).bit_length())
+    tree = SignatureTree(left, sizes[:n], bits)
+    other = SignatureTree(right, sizes[n:], bits) if right is not None else tree
+    names_a = np.array(tree.order)
+    names_b = np.array(other.order) + (n if right is not None else 0)
+    level = min(len(tree.levels), len(other.levels)) - 1
+    top_a, top_b = len(tree.levels[level][1]), len(other.levels[level][1])
+    pending = [(level, np.repeat(np.arange(top_a), top_b), np.tile(np.arange(top_b), top_a))]
+    # wide bitmaps are compared in pieces
+    step = max(1, (1 << 25) // bits)
+    while pending:
+        level, a, b = pending.pop()
+        if len(a) > PAIRS_AT_ONCE:
+            pending.append((level, a[PAIRS_AT_ONCE:], b[PAIRS_AT_ONCE:]))
+            a, b = a[:PAIRS_AT_ONCE], b[:PAIRS_AT_ONCE]
+        if right is None:
+            keep = a <= b if level else a < b
+            a, b = a[keep], b[keep]
+        if level == 0 and wanted is not None and len(a):
+            keep = wanted(names_a[a], names_b[b])
+            a, b = a[keep], b[keep]
+        if not len(a):
+            continue
+        keep = np.concatenate(
+            [
+                tree.possible(other, level, a[i : i + step], b[i : i + step], percent)
+                for i in range(0, len(a), step)
+            ]
+        )
+        a, b = a[keep], b[keep]
+        if level == 0:
+            yield names_a[a], names_b[b]
+        else:
+            below_a, below_b = len(tree.levels[level - 1][1]), len(other.levels[level - 1][1])
+            steps = np.arange(FAN_OUT)
+            child_a = np.repeat(a[:, None] * FAN_OUT + steps, FAN_OUT, axis=1).ravel()
+            child_b = np.tile(b[:, None] * FAN_OUT + steps, (1, FAN_OUT)).ravel()
+            keep = (child_a < below_a) & (child_b < below_b)
+            pending.append((level - 1, child_a[keep], child_b[keep]))
+
+
 def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     if len(x) > len(y):
         x, y = y, x
@@ -95,11 +161,6 @@ def tree_links(
     sets = left + (right or [])
     if len(sets) < 2:
         return
-    bits = max(256, 1 << (4 * max(map(len, sets)) - 1).bit_length())
-    tree = SignatureTree(left, bits)
-    other = SignatureTree(right, bits) if right is not None else tree
-    shift = len(left) if right is not None else 0
-    names_a, names_b = np.array(tree.order), np.array(other.order) + shift
     parent = np.arange(len(sets))
 
     def root(i: int) -> int:
@@ -108,51 +169,16 @@ def tree_links(
             i = parent[i]
         return i
 
-    level = min(len(tree.levels), len(other.levels)) - 1
-    a, b = (
-        x.ravel()
-        for x in np.meshgrid(
-            np.arange(len(tree.levels[level][1])),
-            np.arange(len(other.levels[level][1])),
-            indexing="ij",
-        )
-    )
-    pending = [(level, a, b)]
-    while pending:
-        level, a, b = pending.pop()
-        if len(a) > PAIRS_AT_ONCE:
-            pending += [(level, a[PAIRS_AT_ONCE:], b[PAIRS_AT_ONCE:])]
-            a, b = a[:PAIRS_AT_ONCE], b[:PAIRS_AT_ONCE]
-        if right is None:
-            keep = a <= b if level else a < b
-            a, b = a[keep], b[keep]
-        if level == 0 and len(a):
-            roots = np.array([root(i) for i in range(len(sets))])
-            keep = roots[names_a[a]] != roots[names_b[b]]
-            a, b = a[keep], b[keep]
-        # wide bitmaps are compared in pieces
-        step = max(1, (1 << 25) // bits)
-        if len(a):
-            keep = np.concatenate(
-                [
-                    tree.possible(other, level, a[i : i + step], b[i : i + step], percent)
-                    for i in range(0, len(a), step)
-                ]
-            )
-            a, b = a[keep], b[keep]
-        if level == 0:
-            for i, j in zip(names_a[a].tolist(), names_b[b].tolist(), strict=True):
-                ri, rj = root(i), root(j)
-                if ri != rj and linked(sets[i], sets[j], percent):
-                    parent[max(ri, rj)] = min(ri, rj)
-                    yield i, j
-        elif len(a):
-            below_a, below_b = len(tree.levels[level - 1][1]), len(other.levels[level - 1][1])
-            steps = np.arange(FAN_OUT)
-            child_a = np.repeat(a[:, None] * FAN_OUT + steps, FAN_OUT, axis=1).ravel()
-            child_b = np.tile(b[:, None] * FAN_OUT + steps, (1, FAN_OUT)).ravel()
-            keep = (child_a < below_a) & (child_b < below_b)
-            pending.append((level - 1, child_a[keep], child_b[keep]))
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        roots = np.array([root(i) for i in range(len(sets))])
+        return roots[a] != roots[b]
+
+    for a, b in possible_pairs(left, right, [len(x) for x in sets], percent, apart):
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            ri, rj = root(i), root(j)
+            if ri != rj and linked(sets[i], sets[j], percent):
+                parent[max(ri, rj)] = min(ri, rj)
+                yield i, j
 
 
 def digest(shingles: np.ndarray) -> bytes:
@@ -236,6 +262,25 @@ def _profiles(width: int, percent: int, counters):
     return work
 
 
+def _suspects(percent: int):
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        first, second = frame["first"].iloc[0], frame["second"].iloc[0]
+        frame = pd.concat(
+            [frame[frame["part"] == x] for x in dict.fromkeys((first, second))]
+        ).reset_index(drop=True)
+        parts = [np.asarray(x).view(np.uint64) for x in frame["prefix"]]
+        n = int((frame["part"] == first).sum())
+        left, right = parts[:n], None if first == second else parts[n:]
+        hit = np.zeros(len(parts), bool)
+        if left and (right is None or right):
+            for a, b in possible_pairs(left, right, frame["n"].tolist(), percent):
+                hit[a] = True
+                hit[b] = True
+        return frame.loc[hit, ["key", "id"]]
+
+    return work
+
+
 def _block_links(width: int, percent: int):
     def sets_of(frame: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
         ids, sets, seen = [], [], set()
@@ -255,12 +300,35 @@ def _block_links(width: int, percent: int):
         if first != second:
             more, right = sets_of(frame[frame["part"] == second])
             ids += more
-        found = [(ids[i], ids[j]) for i, j in tree_links(left, right, percent)] if left else []
+        usable = left and (right is None or right)
+        found = [(ids[i], ids[j]) for i, j in tree_links(left, right, percent)] if usable else []
         return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
     return work
 
 
+def _in_parts(members: DataFrame) -> DataFrame:
+    """Deal the members of each block into parts of bounded size, and give each pair of parts."""
+    parts = members.groupBy("key").agg(
+        F.greatest(
+            F.ceil(F.count("id") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)
+        ).alias("parts")
+    )
+    return (
+        members.join(parts, "key")
+        .withColumn("part", F.expr("pmod(xxhash64(id, key), parts)"))
+        .withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)")))
+        .select(
+            "key",
+            "id",
+            "n",
+            "part",
+            F.least("part", "with").alias("first"),
+            F.greatest("part", "with").alias("second"),
+        )
+    )
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Each row of `docs(doc_id, text, ..)` with the class its links put it into.
 
@@ -291,12 +359,12 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     )
 
     # one column set for the grouping and the join, so that both use the same exchange
-    keys = (
+    prefixes = (
         profiles.join(classes.select(F.col("id").alias("doc_id"), "name", "n"), ["doc_id", "name"])
-        .select("doc_id", "name", "n", F.explode("prefix").alias("key"))
-        .distinct()
-        .select("key", F.col("doc_id").alias("id"), "n")
+        .dropDuplicates(["doc_id", "name"])
+        .select(F.col("doc_id").alias("id"), "n", "prefix")
     )
+    keys = prefixes.select(F.explode("prefix").alias("key"), "id", "n")
     keys = keys.repartition("key")
     shared = keys.groupBy("key").agg(
         F.count("id").alias("members"),
@@ -318,28 +386,20 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         .where("near > 1")
     )
     members = stored(members.join(near, ["key", "step"]).select("key", "id", "n"), "members")
-    parts = members.groupBy("key").agg(
-        F.greatest(
-            F.ceil(F.count("id") / PART_DOCS), F.ceil(F.sum("n") / PART_SHINGLES)
-        ).alias("parts")
-    )
-    members = (
-        members.join(parts, "key")
-        .withColumn("part", F.expr("pmod(xxhash64(id, key), parts)"))
-        .withColumn("with", F.explode(F.expr("sequence(0L, parts - 1)")))
-        .select(
-            "key",
-            "id",
-            "part",
-            F.least("part", "with").alias("first"),
-            F.greatest("part", "with").alias("second"),
-        )
+    tasks = ["key", "first", "second"]
+    suspects = (
+        _in_parts(members)
+        .join(prefixes.select("id", "prefix"), "id")
+        .groupBy(*tasks)
+        .applyInPandas(_suspects(percent), "key long, id long")
     )
+    members = stored(members.join(suspects.distinct(), ["key", "id"]), "suspects")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     links = (
-        members.join(classes.select("id", "name"), "id")
+        _in_parts(members)
+        .join(classes.select("id", "name"), "id")
         .join(texts, "id")
-        .groupBy("key", "first", "second")
+        .groupBy(*tasks)
         .applyInPandas(_block_links(width, percent), "a long, b long")
     )
     named = usable.join(classes.select("name", "id"), "name")
