@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from hearken.llm.common import table
 from hearken.llm.ngram_join import jaccard_classes
 from hearken.llm.packing import harmonic_packing
+from hearken.llm.repeats import remove_repeats
 from hearken.llm.token_counts import token_counts
 
 
@@ -32,10 +33,16 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, length=400).drop("kept")
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
