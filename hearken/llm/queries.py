@@ -8,6 +8,7 @@ from hearken.llm.common import table
 from hearken.llm.ngram_join import jaccard_classes
 from hearken.llm.packing import harmonic_packing
 from hearken.llm.repeats import remove_repeats
+from hearken.llm.secrets import secret_report
 from hearken.llm.token_counts import token_counts
 
 
@@ -38,10 +39,15 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, length=400).drop("kept")
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
+    "op8_secret_scans": op8_secret_scans,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
