@@ -10,6 +10,7 @@ from hearken.llm.packing import harmonic_packing
 from hearken.llm.repeats import remove_repeats
 from hearken.llm.secrets import secret_report
 from hearken.llm.token_counts import token_counts
+from hearken.llm.warc import archive_pages
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +44,32 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
     "op8_secret_scans": op8_secret_scans,
+    "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    # what must come out of the archives, from the pages themselves
+    "op9_warc": """
+        with p as (
+            select page_id, coalesce(html, '') as html,
+                   max(page_id) over (partition by coalesce(html, '')) as last
+            from pages
+        )
+        select page_id, cast(strlen(html) as bigint) as payload_bytes,
+               sha1(html) as payload_digest,
+               case when strlen(html) >= 1000 and page_id <> last
+                    then 'revisit' else 'response' end as record_type,
+               case when strlen(html) >= 1000 and page_id <> last then last end as refers_to
+        from p
+    """,
+}
