@@ -21,6 +21,8 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# all ASCII but letters and digits
+IS_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -68,15 +70,18 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         row = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = IS_SPACE
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a slice, and for each row the range of its words.
 
-    Words are runs of bytes other than space and 0x09-0x0D, with A-Z in lower case.
+    Words are runs of bytes outside the set `apart`, by default space and 0x09-0x0D, with A-Z
+    in lower case.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~IS_SPACE[data]
+    word = ~apart[data]
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]

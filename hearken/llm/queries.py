@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearken.llm.common import table
+from hearken.llm.fingerprints import fingerprint_report
 from hearken.llm.ngram_join import jaccard_classes
 from hearken.llm.packing import harmonic_packing
 from hearken.llm.repeats import remove_repeats
 from hearken.llm.secrets import secret_report
+from hearken.llm.tiling import contaminated
 from hearken.llm.token_counts import token_counts
 from hearken.llm.warc import archive_pages
 
@@ -48,10 +50,21 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return contaminated(docs, items).drop("name")
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_document_fingerprints": op3_document_fingerprints,
     "op4_token_counts": op4_token_counts,
     "op6_packing": op6_packing,
+    "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_secret_scans": op8_secret_scans,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
