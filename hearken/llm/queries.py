@@ -8,6 +8,7 @@ from hearken.llm.common import table
 from hearken.llm.fingerprints import fingerprint_report
 from hearken.llm.ngram_join import jaccard_classes
 from hearken.llm.packing import harmonic_packing
+from hearken.llm.quality import quality_scores
 from hearken.llm.repeats import remove_repeats
 from hearken.llm.secrets import secret_report
 from hearken.llm.tiling import contaminated
@@ -59,7 +60,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(docs, items).drop("name")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_token_counts": op4_token_counts,
