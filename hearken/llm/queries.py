@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearken.llm.common import table
 from hearken.llm.fingerprints import fingerprint_report
+from hearken.llm.language import identify
 from hearken.llm.ngram_join import jaccard_classes
 from hearken.llm.packing import harmonic_packing
 from hearken.llm.quality import quality_scores
@@ -64,11 +65,16 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_document_fingerprints": op3_document_fingerprints,
     "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_benchmark_decontamination": op7_benchmark_decontamination,
     "op8_secret_scans": op8_secret_scans,
