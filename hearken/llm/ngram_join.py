@@ -13,8 +13,8 @@ threshold. The join is exact:
 4. In a task a signature tree is built over each part: nodes hold OR-combined bitmaps of their
    shingles and the range of set sizes. Both trees are walked together, dropping node pairs
    whose greatest possible overlap is too small. This is done twice: over the prefixes, which
-   finds the few classes that may have a partner, then over the whole sets of these, where
-   what is left is compared exactly. A pair whose sides are already connected adds nothing and
+   gives pairs that may link; then, with the classes that such pairs connect in one block, over
+   the whole sets, where what is left is compared exactly. A pair whose sides are already connected adds nothing and
    is skipped.
 5. Components of the links are found by rounds of grouped minima.
 """
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from hearken.llm.common import shingle_sets, stored, text_slices
@@ -151,12 +152,16 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def tree_links(
-    left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
+    left: list[np.ndarray],
+    right: list[np.ndarray] | None,
+    percent: int,
+    sizes: list[int] | None = None,
 ) -> Iterator[tuple[int, int]]:
     """Links that connect all linked sets of `left` (and, if given, those across to `right`).
 
     Sets of `right` are numbered after those of `left`. Pairs that an earlier link has
-    connected are not compared.
+    connected are not compared. With `sizes` the sets are prefixes of sets of these sizes, and
+    all pairs count whose possible overlap suffices.
     """
     sets = left + (right or [])
     if len(sets) < 2:
@@ -173,10 +178,12 @@ def tree_links(
         roots = np.array([root(i) for i in range(len(sets))])
         return roots[a] != roots[b]
 
-    for a, b in possible_pairs(left, right, [len(x) for x in sets], percent, apart):
+    whole = sizes is None
+    sizes = sizes or [len(x) for x in sets]
+    for a, b in possible_pairs(left, right, sizes, percent, apart):
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
             ri, rj = root(i), root(j)
-            if ri != rj and linked(sets[i], sets[j], percent):
+            if ri != rj and (not whole or linked(sets[i], sets[j], percent)):
                 parent[max(ri, rj)] = min(ri, rj)
                 yield i, j
 
@@ -263,24 +270,59 @@ def _profiles(width: int, percent: int, counters):
 
 
 def _suspects(percent: int):
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        first, second = frame["first"].iloc[0], frame["second"].iloc[0]
-        frame = pd.concat(
-            [frame[frame["part"] == x] for x in dict.fromkeys((first, second))]
-        ).reset_index(drop=True)
-        parts = [np.asarray(x).view(np.uint64) for x in frame["prefix"]]
-        n = int((frame["part"] == first).sum())
-        left, right = parts[:n], None if first == second else parts[n:]
-        hit = np.zeros(len(parts), bool)
+    """Pairs that may link, from sorted rows of blocks; enough to connect all such pairs."""
+
+    def of(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        first, second = rows[0][1], rows[0][2]
+        left = [r for r in rows if r[3] == first]
+        right = [r for r in rows if r[3] == second] if first != second else None
         if left and (right is None or right):
-            for a, b in possible_pairs(left, right, frame["n"].tolist(), percent):
-                hit[a] = True
-                hit[b] = True
-        return frame.loc[hit, ["key", "id"]]
+            rows = left + (right or [])
+            for i, j in tree_links(
+                [r[6] for r in left],
+                None if right is None else [r[6] for r in right],
+                percent,
+                [r[5] for r in rows],
+            ):
+                yield rows[i][4], rows[j][4]
+
+    def pairs(batches) -> Iterator[tuple[int, int]]:
+        task, rows = None, []
+        for batch in batches:
+            column = batch.column("prefix")
+            values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+            names = ("key", "first", "second", "part", "id", "n")
+            plain = (batch.column(c).to_pylist() for c in names)
+            for k, row in enumerate(zip(*plain, strict=True)):
+                if row[:3] != task:
+                    if len(rows) > 1:
+                        yield from of(rows)
+                    task, rows = row[:3], []
+                rows.append((*row, values[starts[k] : starts[k + 1]]))
+        if len(rows) > 1:
+            yield from of(rows)
+
+    def work(batches):
+        out = []
+        for pair in pairs(batches):
+            out.append(pair)
+            if len(out) == 10_000:
+                yield _pairs(out)
+                out = []
+        if out:
+            yield _pairs(out)
 
     return work
 
 
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], ["a", "b"]
+    )
+
+
 def _block_links(width: int, percent: int):
     def sets_of(frame: pd.DataFrame) -> tuple[list[int], list[np.ndarray]]:
         ids, sets, seen = [], [], set()
@@ -390,14 +432,22 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     suspects = (
         _in_parts(members)
         .join(prefixes.select("id", "prefix"), "id")
-        .groupBy(*tasks)
-        .applyInPandas(_suspects(percent), "key long, id long")
+        .select(*tasks, "part", "id", "n", "prefix")
+        .repartition(*tasks)
+        .sortWithinPartitions(*tasks)
+        .mapInArrow(_suspects(percent), "a long, b long")
+    )
+    # classes that may link, directly or over others, are compared together; each is sent once
+    members = stored(
+        components(suspects)
+        .withColumnRenamed("component_id", "key")
+        .join(classes.select("id", "name", "n"), "id"),
+        "suspects",
     )
-    members = stored(members.join(suspects.distinct(), ["key", "id"]), "suspects")
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     links = (
         _in_parts(members)
-        .join(classes.select("id", "name"), "id")
+        .join(members.select("id", "name"), "id")
         .join(texts, "id")
         .groupBy(*tasks)
         .applyInPandas(_block_links(width, percent), "a long, b long")
