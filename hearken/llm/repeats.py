@@ -115,7 +115,7 @@ def _emit_anchors(length: int):
                     )
                     found.setdefault((key, seen - (1 << 63), before, after), []).append(p)
                 rows += [(k[0], k[1], h1, h2, k[2], k[3], at) for k, at in found.items()]
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema)],
                         schema=schema,
@@ -135,8 +135,8 @@ def _cut_reach(batches):
     for batch in batches:
         for raw, wanted in zip(_texts(batch), batch.column("wanted"), strict=True):
             wanted = wanted.as_py()
-            for i in range(0, len(wanted), 4096):
-                part = wanted[i : i + 4096]
+            for i in range(0, len(wanted), 1024):
+                part = wanted[i : i + 1024]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([w["key"] for w in part], pa.int64()),
@@ -184,29 +184,37 @@ def prefix_intervals(shared: list[int]) -> Iterator[tuple[int, int, int]]:
 def group_repeats(
     lefts: list[bytes], rights: list[bytes], length: int
 ) -> Iterator[tuple[int, int, int]]:
-    """Maximal repeats through one anchor: (member, bytes before it, bytes from it on).
+    """What repeats through one anchor: (member, bytes before it, bytes from it on).
 
     `rights` are sorted suffixes from the anchor on, `lefts` the bytes before it, backwards.
+    All repeats of a member hold its anchor, so together they are one run.
     """
     shared = [common(rights[i], rights[i + 1]) for i in range(len(rights) - 1)]
-    rank = np.empty(len(lefts), np.int64)
     backwards = sorted(range(len(lefts)), key=lefts.__getitem__)
+    rank = np.empty(len(lefts), np.int64)
     rank[backwards] = np.arange(len(lefts))
-    reach = [common(lefts[a], lefts[b]) for a, b in zip(backwards, backwards[1:], strict=False)]
+    reach = np.array(
+        [common(lefts[a], lefts[b]) for a, b in zip(backwards, backwards[1:], strict=False)],
+        np.int64,
+    )
+    most_before = np.full(len(lefts), -1, np.int64)
+    most_after = np.zeros(len(lefts), np.int64)
+    greatest = int(reach.max(initial=0))
     for depth, first, last in prefix_intervals(shared):
-        if depth + max(reach, default=0) < length:
+        if depth + greatest < length:
             continue
-        # members by left extension; what neighbours share is the least on the way between them
+        # members by left extension; two share the least of what lies between them
         order = np.sort(rank[first : last + 1])
-        gaps = np.minimum.reduceat(np.array(reach), order[:-1]) if len(order) == len(lefts) else (
-            np.array([min(reach[a:b]) for a, b in zip(order.tolist(), order[1:].tolist(), strict=False)])
-        )
+        gaps = np.minimum.reduceat(reach[: order[-1]], order[:-1])
         longest = np.zeros(len(order), np.int64)
         longest[:-1] = gaps
         longest[1:] = np.maximum(longest[1:], gaps)
-        for place, left in zip(order.tolist(), longest.tolist(), strict=True):
-            if depth + left >= length:
-                yield backwards[place], left, depth
+        diverse = order[depth + longest >= length]
+        before = longest[depth + longest >= length]
+        most_before[diverse] = np.maximum(most_before[diverse], before)
+        most_after[diverse] = np.maximum(most_after[diverse], depth)
+    for place in np.flatnonzero(most_before >= 0).tolist():
+        yield backwards[place], int(most_before[place]), int(most_after[place])
 
 
 def _repeats(length: int):
@@ -261,8 +269,8 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _remove(length: int):
     def work(batches):
+        out, held = [], 0
         for batch in batches:
-            out = []
             for raw, doc_id, copies, spans in zip(
                 _texts(batch),
                 batch.column("doc_id").to_pylist(),
@@ -282,21 +290,30 @@ def _remove(length: int):
                 digest = hashlib.sha256()
                 for part in kept:
                     digest.update(part)
-                out.append((doc_id, n, n - sum(map(len, kept)), runs, digest.hexdigest(), b"".join(kept)))
-            if out:
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(x, pa.int64()) for x in columns[:4]),
-                        pa.array(columns[4], pa.string()),
-                        pa.array(columns[5], pa.binary()),
-                    ],
-                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
-                )
+                left = n - sum(map(len, kept))
+                out.append((doc_id, n, left, runs, digest.hexdigest(), b"".join(kept)))
+                held += n
+                if held > SEGMENT:
+                    yield _kept(out)
+                    out, held = [], 0
+        if out:
+            yield _kept(out)
 
     return work
 
 
+def _kept(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays(
+        [
+            *(pa.array(x, pa.int64()) for x in columns[:4]),
+            pa.array(columns[4], pa.string()),
+            pa.array(columns[5], pa.binary()),
+        ],
+        ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
+    )
+
+
 def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """Cut out of each text every byte covered by a `length`-byte string that is also elsewhere.
 
@@ -312,27 +329,24 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
         {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(_BASE >> 2), "text")}
     )
     long_texts = docs.where(F.octet_length("text") >= length)
-    found = (
-        long_texts.select("h1", "h2", "text")
-        .mapInArrow(
+    found = stored(
+        long_texts.select("h1", "h2", "text").mapInArrow(
             _emit_anchors(length),
             "key long, reach long, h1 long, h2 long, before int, after int, at array<long>",
-        )
-        .repartition("key")
+        ),
+        "anchors",
     )
-    # the same columns as the join reads, so that both use one exchange
     shared = (
         found.groupBy("key")
         .agg(
             F.sum(F.size("at")).alias("n"),
             F.min("reach").alias("low"),
             F.max("reach").alias("high"),
-            F.max(F.col("h1") + F.col("before") * 0 + F.col("after") * 0 + F.col("h2") * 0),
         )
         .where("n > 1")
         .select("key", (F.col("low") != F.col("high")).alias("differ"))
     )
-    found = stored(found.join(shared, "key"), "anchors")
+    found = stored(found.join(shared, "key"), "shared-anchors")
     classes = stored(
         found.groupBy("key", "reach").agg(F.sum(F.size("at")).alias("n")), "anchor-classes"
     )
