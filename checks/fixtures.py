@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearken.functions import normalize_full
 from hearken.functions.text import WHITESPACE_CLASS as WS, WORD_CLASS
-from hearken.runtime import fan_out
 
 SYSTEMS = ["a", "b", "c"]
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -21,8 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table with long texts, spread over the cores while it is small."""
-    return fan_out(table(spark, sf_dir, name))
+    """A table with long texts, as it is read."""
+    return table(spark, sf_dir, name)
 
 
 def utt(spark: SparkSession, sf_dir: str) -> DataFrame:

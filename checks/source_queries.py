@@ -108,12 +108,15 @@ def audio_listing(spark, d):
 
 
 def dataset_versions(spark, d):
-    """Two different contents, the second one published twice."""
+    """Different contents, the second one published twice, then renamed and retyped ones."""
     root = scratch_path(spark, "versions")
     rows = utt(spark, d)
     publish_version(rows.select("utt_id", "text"), root, "asr")
     publish_version(rows.select("utt_id", "ref"), root, "asr")
     publish_version(rows.select("ref", "utt_id"), root, "asr")
+    publish_version(rows.select("utt_id", F.col("ref").alias("words")), root, "asr")
+    for kind in ("bigint", "string"):
+        publish_version(rows.select("utt_id", F.col("turn").cast(kind)), root, "asr")
     return registry(spark, root).select(
         "name", "version", "rows", F.col("fingerprint").cast("string").alias("fingerprint")
     )
@@ -145,8 +148,13 @@ def _sql_fingerprint(cells: str, source: str) -> str:
     return f"select count(*) as rows, sum({number})::varchar as fingerprint from {source}"
 
 
-def _cells(*columns: str) -> str:
-    return " || '|' || ".join(f"length({c}::varchar) || ':' || {c}" for c in columns)
+def _cells(**columns: str) -> str:
+    """Cells of columns, by name: type and, if it is another, SQL of the value."""
+    parts = {n: (*t.split(" ", 1), n)[:2] for n, t in columns.items()}
+    return " || '|' || ".join(
+        f"'{n}:{kind}=' || length(({value})::varchar) || ':' || ({value})"
+        for n, (kind, value) in parts.items()
+    )
 
 
 QUERIES = {
@@ -195,15 +203,21 @@ QUERIES = {
     "dataset_versions": (
         dataset_versions,
         f"""with {SQL_UTT},
-        one as ({_sql_fingerprint(_cells('text', 'utt_id'), 'utt')}),
-        two as ({_sql_fingerprint(_cells('ref', 'utt_id'), 'utt')})
+        one as ({_sql_fingerprint(_cells(text='string', utt_id='string'), 'utt')}),
+        two as ({_sql_fingerprint(_cells(ref='string', utt_id='string'), 'utt')}),
+        three as ({_sql_fingerprint(_cells(utt_id='string', words='string ref'), 'utt')}),
+        four as ({_sql_fingerprint(_cells(turn='bigint', utt_id='string'), 'utt')}),
+        five as ({_sql_fingerprint(_cells(turn='string', utt_id='string'), 'utt')})
         select 'asr' as name, 1 as version, rows, fingerprint from one
-        union all select 'asr', 2, rows, fingerprint from two""",
+        union all select 'asr', 2, rows, fingerprint from two
+        union all select 'asr', 3, rows, fingerprint from three
+        union all select 'asr', 4, rows, fingerprint from four
+        union all select 'asr', 5, rows, fingerprint from five""",
     ),
     "latest_version": (latest_version, f"with {SQL_UTT} select utt_id, ref as text from utt"),
     "dataset_fingerprint": (
         row_fingerprint,
-        _sql_fingerprint(_cells("doc_id", "lang", "text"), "documents"),
+        _sql_fingerprint(_cells(doc_id="bigint", lang="string", text="string"), "documents"),
     ),
     "stage_once": (stage_once, f"with {SQL_UTT} select utt_id, ref from utt"),
 }

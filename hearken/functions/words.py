@@ -10,9 +10,6 @@ from pyspark.sql import Column, functions as F, types as T
 from hearken.functions.text import WHITESPACE_RUN
 from hearken.runtime import ColumnLike, as_column, bind
 
-# Above this table size an alignment rebuilds parts of its table instead of keeping them.
-BITS_KEPT = 100_000_000
-
 
 def split_words(text: ColumnLike) -> Column:
     """Words between whitespace; null and blank text have none."""
@@ -68,8 +65,8 @@ def _pair_udf(form: str):
         n, m = len(a), len(b)
         masks, full = positions(a)
 
-        # Long texts keep every stride-th state only and rebuild the columns between.
-        stride = max(1, m if n * m <= BITS_KEPT else isqrt(m))
+        # Every stride-th state is kept, the columns between are rebuilt.
+        stride = max(1, isqrt(m))
         states = [(full, 0)]
         for start in range(0, m - stride, stride):
             for _, *state in columns(states[-1], b[start : start + stride], masks, full):
@@ -78,7 +75,7 @@ def _pair_udf(form: str):
 
         out = ["A" * same]
         i, j = n, m
-        while states:
+        while states and i:
             state, start = states.pop(), len(states) * stride
             block = list(columns(state, b[start:j], masks, full))
             while i and j > start:

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearken.functions.words import aligned_slots, split_words
-from hearken.runtime import bind
+from hearken.runtime import bind, quoted
 
 TIES = ("first", "word_over_null")
 
@@ -80,10 +80,10 @@ def rover(
         raise ValueError(f"tie must be one of {TIES}, got {tie!r}")
     if len(systems) < 2:
         raise ValueError("voting takes at least two systems")
-    pivot = systems[0]
-    own = F.concat(F.lit(" "), F.array_join(split_words(pivot), " "))
+    texts = [F.col(quoted(s)) for s in systems]
+    own = F.concat(F.lit(" "), F.array_join(split_words(texts[0]), " "))
     names = [f"_slots{i}" for i in range(len(systems))]
-    laid_out = [own] + [aligned_slots(pivot, s) for s in systems[1:]]
+    laid_out = [own] + [aligned_slots(texts[0], t) for t in texts[1:]]
     return (
         df.withColumns(dict(zip(names, laid_out)))
         .withColumn(output, vote([F.col(n) for n in names], tie))

@@ -25,12 +25,17 @@ def best_run(
 
 
 def latest_checkpoint(names: DataFrame, name: str = "name") -> DataFrame:
-    """The checkpoint with the greatest step number, compared as a number."""
-    step = F.regexp_extract(name, r"-(\d+)$", 1)
+    """The checkpoint with the greatest step number, compared as a number of up to 38 digits.
+
+    A name ends in a dash and the number; others are not checkpoints. `step` is null where the
+    number is larger than a long holds.
+    """
+    step = F.regexp_extract(name, r"-(\d+)$", 1).try_cast("decimal(38,0)")
+    last = F.max(F.struct(step.alias("step"), F.col(name).alias("name")))
     return (
-        names.where(F.col(name).rlike(r"^checkpoint-.*\d$"))
-        .select(F.col(name).alias("name"), step.cast("long").alias("step"))
-        .agg(F.max_by("name", "step").alias("name"), F.max("step").alias("step"))
+        names.where(F.col(name).rlike(r"^checkpoint-(?:.*-)?\d+$"))
+        .agg(last.alias("last"))
+        .select("last.name", F.col("last.step").try_cast("long").alias("step"))
     )
 
 

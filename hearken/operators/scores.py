@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearken.functions.words import edit_detail, split_words, word_edits
-from hearken.runtime import ColumnLike
+from hearken.runtime import ColumnLike, as_column, quoted
 
 Normalizer = Callable[[ColumnLike], Column]
 
@@ -85,11 +85,19 @@ def wer_of_columns(
     normalizer: Normalizer | None = None,
 ) -> DataFrame:
     """Summary `(system, wer)` over hypothesis columns, all of them in one pass."""
-    clean = normalizer or F.col
-    texts = df.select(clean(ref).alias("_ref"), *[clean(s).alias(s) for s in systems])
+    clean = normalizer or as_column
+    places = range(len(systems))
+    texts = df.select(
+        clean(F.col(quoted(ref))).alias("ref"),
+        *[clean(F.col(quoted(s))).alias(f"hyp{i}") for i, s in enumerate(systems)],
+    )
     counts = texts.select(
-        F.size(split_words("_ref")).alias("_words"),
-        *[word_edits("_ref", s).alias(s) for s in systems],
+        F.size(split_words("ref")).alias("words"),
+        *[word_edits("ref", f"hyp{i}").alias(f"edits{i}") for i in places],
     )
-    scores = counts.agg(*[pooled_wer(s, "_words").alias(s) for s in systems])
-    return scores.unpivot([], list(systems), "system", "wer")
+    scores = counts.agg(*[pooled_wer(f"edits{i}", "words").alias(f"wer{i}") for i in places])
+    named = [
+        F.struct(F.lit(s).alias("system"), F.col(f"wer{i}").alias("wer"))
+        for i, s in enumerate(systems)
+    ]
+    return scores.select(F.inline(F.array(*named)))

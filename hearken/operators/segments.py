@@ -16,14 +16,17 @@ def ordered_concat(
 ) -> DataFrame:
     """Pieces of each key in `order`, without a separator. Null pieces are left out.
 
-    An integer order is joined in runs of `chunk` first, so the many pieces of one busy key
-    are sorted and joined by many tasks and its last step sees one piece per run.
+    The order must be an integer: pieces are joined in runs of `chunk` first, so the many
+    pieces of one busy key are sorted and joined by many tasks and its last step sees one
+    piece per run.
     """
     pieces = df.select(
         F.col(key).alias("_key"), F.col(order).alias("_order"), as_column(text).alias("_text")
     )
     joined = F.expr("listagg(_text, '') within group (order by _order, _text)").alias("_text")
-    if chunk and isinstance(df.schema[order].dataType, T.IntegralType):
+    if chunk:
+        if not isinstance(df.schema[order].dataType, T.IntegralType):
+            raise TypeError(f"{order!r} must be an integer column")
         pieces = (
             pieces.groupBy("_key", F.expr(f"_order div {chunk}").alias("_run"))
             .agg(joined)

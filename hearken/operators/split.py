@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearken.runtime import ColumnLike, as_column
 
-# Hex digits of the coarse count: at most 16 ** 4 = 65,536 groups.
-PREFIX_DIGITS = 4
+# Hex digits of the hash that each counting step looks at: the first two steps have at most
+# 16 ** 4 = 65,536 groups, the last one the hashes that agree in eight digits.
+STEPS = (4, 8, 32)
 
 
 def _hash(key: ColumnLike, seed: int) -> Column:
@@ -15,34 +18,21 @@ def _hash(key: ColumnLike, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), text))
 
 
-def _cutoff(hashes: DataFrame, test_size: float) -> Column:
-    """The hash of rank ceil(n * test_size), as a scalar subquery."""
-    prefix = F.substring("h", 1, PREFIX_DIGITS)
+def _at_rank(hashes: DataFrame, rank: int) -> tuple[str, int, int]:
+    """The hash of column `h` with this rank, how many of its rows are up to it, and all of them."""
+    known, rows = "", 0
     upto = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    edge = (
-        hashes.groupBy(prefix.alias("p"))
-        .agg(F.count("*").alias("n"))
-        .select(
-            "p",
-            (F.sum("n").over(upto) - F.col("n")).alias("before"),
-            "n",
-            F.ceil(F.sum("n").over(whole) * F.lit(float(test_size))).alias("wanted"),
+    for digits in STEPS:
+        known, before, rows = (
+            hashes.where(F.col("h").startswith(known))
+            .groupBy(F.substring("h", 1, digits).alias("p"))
+            .agg(F.count("*").alias("n"))
+            .select("p", (F.sum("n").over(upto) - F.col("n")).alias("before"), "n")
+            .where((F.col("before") < rank) & (F.col("before") + F.col("n") >= rank))
+            .first()
         )
-        .where("before < wanted and wanted <= before + n")
-        .agg(F.first(F.struct("p", (F.col("wanted") - F.col("before")).alias("rest"))))
-        .scalar()
-    )
-    upto_hash = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        hashes.where(prefix == edge["p"])
-        .groupBy("h")
-        .agg(F.count("*").alias("n"))
-        .select("h", F.sum("n").over(upto_hash).alias("upto"))
-        .where(F.col("upto") >= edge["rest"])
-        .agg(F.min("h"))
-        .scalar()
-    )
+        rank -= before
+    return known, rank, rows
 
 
 def exact_split(
@@ -52,15 +42,38 @@ def exact_split(
     seed: int = 42,
     parts: tuple[str, str] = ("train", "test"),
     column: str = "split",
+    keep_copies_together: bool = False,
 ) -> DataFrame:
     """Mark ceil(n * test_size) rows as test, the same ones on every run.
 
-    Rows rank by a seeded hash of their unique key; only the cutoff hash is looked for.
-    Counting hash prefixes finds the one prefix it lies in, and the second step ranks just
-    the hashes of that prefix, 1/65,536 of all. Both steps read the key column alone. The
-    rows themselves are only filtered: they are neither shuffled nor sorted. If a key
-    repeats, its copies stay on one side.
+    Rows rank by a seeded hash of their key, those of one key (nulls are one, too) by a hash of
+    all their columns; only the cutoff is looked for, by counting hash prefixes in a few passes
+    over the key column at once. The rows themselves are only filtered: they are neither
+    shuffled nor sorted. If rows that agree in every column lie on the cutoff, the right number
+    of them goes to each part. Give a stored table, since it is read more than once.
+
+    With `keep_copies_together` all rows of a key are on one side, and the test part is larger
+    than asked for by the copies of the key on the cutoff.
     """
-    hashes = df.select(_hash(key, seed).alias("h"))
-    is_test = _hash(key, seed) <= _cutoff(hashes, test_size)
-    return df.withColumn(column, F.when(is_test, parts[1]).otherwise(parts[0]))
+    hashed = _hash(key, seed)
+    rank = math.ceil(df.count() * test_size)
+    if rank == 0:
+        return df.withColumn(column, F.lit(parts[0]))
+    cutoff, left, rows = _at_rank(df.select(hashed.alias("h")), rank)
+
+    def marked(is_test: Column, of: DataFrame = df) -> DataFrame:
+        return of.withColumn(column, F.when(is_test, parts[1]).otherwise(parts[0]))
+
+    if keep_copies_together or left == rows:
+        return marked(hashed <= cutoff)
+    whole = F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    edge, left, rows = _at_rank(df.where(hashed == cutoff).select(whole.alias("h")), left)
+    is_test = (hashed < cutoff) | ((hashed == cutoff) & (whole <= edge))
+    if left == rows:
+        return marked(is_test)
+    # rows without any difference: one of them, as often as each part needs it
+    on_edge = (hashed == cutoff) & (whole == edge)
+    copies = df.sparkSession.range(rows).select(F.lit(1).alias("_one"), (F.col("id") < left).alias("_test"))
+    one = df.where(on_edge).limit(1).withColumn("_one", F.lit(1))
+    shared = marked(F.col("_test"), one.join(copies, "_one")).drop("_one", "_test")
+    return marked(is_test, df.where(~on_edge)).unionByName(shared)

@@ -33,7 +33,7 @@ from hearken.operators import (
     to_canonical,
     with_existing_audio,
 )
-from hearken.runtime import fan_out
+from hearken.runtime import spread
 from hearken.sources import (
     materialize_once,
     publish_version,
@@ -90,15 +90,20 @@ def prepare_corpus(
     cwd: str = "/",
     version_root: str | None = None,
     version_name: str = "corpus",
+    null_values: tuple[str, ...] = (),
+    multi_line: bool = True,
+    partitions: int | None = None,
 ) -> PreparedCorpus:
     """Annotation CSV to records, manifests and alphabet of an exact train/test split.
 
-    `files` lists the existing clips in the column `path`.
+    `files` lists the existing clips in the column `path`. `null_values` are words that mean a
+    missing value; `multi_line` and `partitions`: see the reader and `spread`.
     """
 
     def clean() -> DataFrame:
-        raw = fan_out(
-            read_annotations_csv(spark, source_csv, annotation_schema(path_column, text_column))
+        schema = annotation_schema(path_column, text_column)
+        raw = spread(
+            read_annotations_csv(spark, source_csv, schema, null_values, multi_line), partitions
         )
         rows = raw.select(
             rebase_path(F.col(f"`{path_column}`"), audio_folder).alias("path"),
@@ -107,7 +112,8 @@ def prepare_corpus(
         return drop_empty(rows.na.drop("any", subset=["path"]), "text")
 
     cleaned = materialize_once(spark, f"{out}/clean", clean)
-    found = with_existing_audio(cleaned, files)
+    # stored, since the split reads it more than once
+    found = materialize_once(spark, f"{out}/found", lambda: with_existing_audio(cleaned, files))
     corpus = materialize_once(
         spark, f"{out}/corpus", lambda: exact_split(found, "path", test_size, seed)
     )
@@ -143,18 +149,20 @@ def prepare_json_corpus(
     seed: int = 42,
     cwd: str = "/",
     extra_space: bool = True,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Annotation JSON to Cyrillic-only manifests and an alphabet over all rows."""
 
     def clean() -> DataFrame:
         raw = select_dropna(
-            fan_out(read_annotations_json(spark, source_json)), ["audio_path", "text"]
+            spread(read_annotations_json(spark, source_json), partitions), ["audio_path", "text"]
         )
         return raw.withColumn("text", normalize_cyrillic("text"))
 
     cleaned = materialize_once(spark, f"{out}/clean", clean)
-    split = exact_split(cleaned, "audio_path", test_size, seed)
-    corpus = materialize_once(spark, f"{out}/corpus", lambda: split)
+    corpus = materialize_once(
+        spark, f"{out}/corpus", lambda: exact_split(cleaned, "audio_path", test_size, seed)
+    )
     write_manifest(corpus, f"{out}/manifest", absolute_path("audio_path", cwd), "text")
     write_alphabet(alphabet(corpus, "text"), f"{out}/alphabet", extra_space)
     return corpus
@@ -169,6 +177,8 @@ def prepare_flagged_corpus(
     text_column: str = TEXT_COLUMN,
     flag_column: str = FLAG_COLUMN,
     null_values: tuple[str, ...] = (),
+    multi_line: bool = True,
+    partitions: int | None = None,
 ) -> LabelledCorpus:
     """Annotation CSV with a test flag to labelled train and eval records.
 
@@ -178,7 +188,9 @@ def prepare_flagged_corpus(
 
     def clean() -> DataFrame:
         schema = annotation_schema(path_column, text_column, flag_column)
-        raw = fan_out(read_annotations_csv(spark, source_csv, schema, null_values))
+        raw = spread(
+            read_annotations_csv(spark, source_csv, schema, null_values, multi_line), partitions
+        )
         rows = to_canonical(
             select_dropna(raw, names), {path_column: "audio", text_column: "text", flag_column: "test"}
         ).withColumns({"audio": prefix_path("audio", audio_root), "text": normalize_punct("text")})

@@ -17,7 +17,7 @@ from hearken.operators import (
     wer_of_columns,
     with_existing_audio,
 )
-from hearken.runtime import fan_out
+from hearken.runtime import quoted
 from hearken.sources import load_dataset_dir, save_dataset, write_results_csv
 
 
@@ -25,6 +25,8 @@ from hearken.sources import load_dataset_dir, save_dataset, write_results_csv
 class Evaluation:
     details: DataFrame
     summary: DataFrame
+    skipped: DataFrame | None = None
+    errors: DataFrame | None = None
 
 
 def evaluate_systems(
@@ -40,18 +42,22 @@ def evaluate_systems(
     """Normalised scores of each system, their vote and, if given, a corrector's output.
 
     `hyps` is long, `(key, system, hyp)`; `corrected` holds `(key, corrected)`. Voting and
-    scoring use the details table as written, so the alignment is done once.
+    scoring use the details table as written, so the alignment is done once. It keeps the
+    texts as given in columns ending in `_raw`.
     """
     wide = assemble_hypotheses(refs.select(key, ref), hyps, systems, key)
     scored = [*systems, "rover"]
-    clean = wide.withColumns({c: normalize_full(c) for c in [ref, *systems]})
+    texts = {c: F.col(quoted(c)) for c in [ref, *systems]}
+    clean = wide.withColumns({f"{c}_raw": text for c, text in texts.items()}).withColumns(
+        {c: normalize_full(text) for c, text in texts.items()}
+    )
     voted = rover(clean, systems, tie)
     if corrected is not None:
         outputs = corrected.select(key, normalize_full("corrected").alias("corrected"))
         voted = attach_outputs(voted, outputs, key)
         scored.append("corrected")
     save_dataset(voted, f"{out}/details")
-    details = fan_out(load_dataset_dir(refs.sparkSession, f"{out}/details"))
+    details = load_dataset_dir(refs.sparkSession, f"{out}/details")
     write_results_csv(details, f"{out}/details_csv")
     return Evaluation(details, wer_of_columns(details, ref, scored))
 
@@ -75,15 +81,16 @@ def evaluate_raw(
 
     `annotations` holds `(audio, text, test)`, `files` existing clips as `path`, `outputs`
     is long, `(audio, system, hyp, error)`. Clips without a file and clips on which any
-    system failed are left out. Raises when the test part is empty.
+    system failed are left out of the scores: `skipped` holds them, `errors` the failed outputs. Raises when the test part is empty.
     """
     test = by_flag(annotations, "test", 1).select("audio", F.col("text").alias("ground_truth"))
     if test.isEmpty():
         raise ValueError("no rows with test = 1")
     present = with_existing_audio(test, files.withColumnRenamed("path", "audio"), "audio")
-    passed, _ = split_errors(outputs, F.col("error").isNotNull())
+    passed, failed = split_errors(outputs, F.col("error").isNotNull())
     wide = assemble_hypotheses(present, passed, systems, "audio")
     save_dataset(wide, f"{out}/details")
-    details = fan_out(load_dataset_dir(annotations.sparkSession, f"{out}/details"))
+    details = load_dataset_dir(annotations.sparkSession, f"{out}/details")
     write_results_csv(details, f"{out}/details_csv", bom)
-    return Evaluation(details, wer_of_columns(details, "ground_truth", systems))
+    skipped = test.join(details.select("audio"), "audio", "left_anti")
+    return Evaluation(details, wer_of_columns(details, "ground_truth", systems), skipped, failed)

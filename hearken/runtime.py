@@ -1,4 +1,4 @@
-"""Session helpers shared by the operators: where to write, how wide to spread work."""
+"""Session helpers shared by the operators: names, where to write, how wide to spread work."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ColumnLike = Column | str
 
-FAN_OUT_BYTES = 1 << 30
-
 
 def as_column(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -22,17 +20,17 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def fan_out(scan: DataFrame) -> DataFrame:
-    """Give every core a share of an input that arrives in few tasks.
+def quoted(name: str) -> str:
+    """A column name taken as it is, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Deal rows anew into `partitions`, or leave them as they are read.
 
-    A small file with one row group, or a CSV with line breaks in its texts, is one task
-    however many cores wait for it. Only inputs below `FAN_OUT_BYTES` are redistributed, so
-    the price has a fixed bound; anything larger has many splits and is left alone.
+    For inputs that arrive in few large tasks, such as CSV with line breaks inside texts.
     """
-    size = scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) >= FAN_OUT_BYTES:
-        return scan
-    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+    return df if partitions is None else df.repartition(partitions)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -3,16 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession, functions as F, types as T
+
+from hearken.runtime import quoted
 
 ANNOTATION_SCHEMA = "audio_path string, text string"
 SPLIT_RECORD_SCHEMA = "audio string, transcription string"
 BYTE_ORDER_MARK = "\ufeff"
 
+CORRUPT = "_corrupt"
+FAIL, QUARANTINE = "fail", "quarantine"
+
 Schema = str | T.StructType
 
 
+def _checked(mode: str) -> str:
+    if mode not in (FAIL, QUARANTINE):
+        raise ValueError(f"mode must be {FAIL!r} or {QUARANTINE!r}, got {mode!r}")
+    return mode
+
+
+def _json(spark: SparkSession, schema: Schema, mode: str) -> DataFrameReader:
+    if _checked(mode) == FAIL:
+        return spark.read.schema(schema).option("mode", "FAILFAST")
+    wanted = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    known = T.StructType([*wanted.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.schema(known).option("columnNameOfCorruptRecord", CORRUPT)
+
+
 def _null_markers(df: DataFrame, null_values: Sequence[str]) -> DataFrame:
     if not null_values:
         return df
@@ -27,12 +48,14 @@ def read_annotations_csv(
     schema: Schema = ANNOTATION_SCHEMA,
     null_values: Sequence[str] = (),
     multi_line: bool = True,
+    mode: str = FAIL,
 ) -> DataFrame:
     """CSV with a header, any Unicode column names and quoted text.
 
     The columns of `schema` are found by name, in any order and among others; only they are
-    parsed. Words in `null_values` become null, an empty field is null already, quoted or not, and
-    a value that does not fit its type is null too.
+    parsed. Files of one call have the same header. Words in `null_values` become null; an
+    empty field is null already, quoted or not. A value that does not fit its type ends the job
+    or, with mode "quarantine", is null, and the column `_corrupt` holds its whole row.
 
     With `multi_line` a quoted text may hold line breaks, but each file is then one task:
     split a large corpus into many files, or turn it off where texts are single lines.
@@ -51,20 +74,32 @@ def read_annotations_csv(
         raise ValueError(f"missing columns {absent} in {path}")
     texts = raw.select([F.col(f"`{by_name[f.name]}`").alias(f.name) for f in wanted])
     marked = _null_markers(texts, null_values)
+    if _checked(mode) == FAIL:
+        return marked.select([F.col(quoted(f.name)).cast(f.dataType).alias(f.name) for f in wanted])
+    cells = {f.name: F.col(quoted(f.name)).try_cast(f.dataType) for f in wanted}
+    misfits = [cells[n].isNull() & F.col(quoted(n)).isNotNull() for n in cells]
+    row = F.to_json(F.struct(*[F.col(quoted(n)) for n in cells]))
     return marked.select(
-        [F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in wanted]
+        *[c.alias(n) for n, c in cells.items()], F.when(reduce(or_, misfits), row).alias(CORRUPT)
     )
 
 
 def read_annotations_json(
-    spark: SparkSession, path: str, schema: Schema = ANNOTATION_SCHEMA
+    spark: SparkSession, path: str, schema: Schema = ANNOTATION_SCHEMA, mode: str = FAIL
 ) -> DataFrame:
-    """Files that each hold one JSON array of objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """Files that each hold one JSON array of objects.
+
+    A broken file ends the job or, with mode "quarantine", gives one row whose column `_corrupt`
+    holds it.
+    """
+    return _json(spark, schema, mode).option("multiLine", True).json(path)
 
 
 def read_jsonl(
-    spark: SparkSession, path: str, schema: Schema = SPLIT_RECORD_SCHEMA
+    spark: SparkSession, path: str, schema: Schema = SPLIT_RECORD_SCHEMA, mode: str = FAIL
 ) -> DataFrame:
-    """One JSON object per line. Lines are splittable, so this is the form for large corpora."""
-    return spark.read.schema(schema).json(path)
+    """One JSON object per line. Lines are splittable, so this is the form for large corpora.
+
+    A broken line ends the job or, with mode "quarantine", is a row with the line in `_corrupt`.
+    """
+    return _json(spark, schema, mode).json(path)

@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from hearken.runtime import path_exists
+from hearken.runtime import path_exists, quoted
 
 REGISTRY_SCHEMA = "name string, version int, rows bigint, fingerprint decimal(38,0)"
 LATEST = "latest"
 
 
 def _cell(field: T.StructField) -> Column:
-    """A value with its length in front, so neighbouring cells cannot run together."""
-    value = F.col(f"`{field.name}`")
+    """Name, type and value, its length in front, so neighbouring cells cannot run together."""
+    value = F.col(quoted(field.name))
     complex_type = isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType))
     text = F.to_json(value) if complex_type else value.cast("string")
-    return F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-"))
+    named = F.lit(f"{field.name}:{field.dataType.simpleString()}=")
+    return F.concat(named, F.coalesce(F.concat(F.length(text), F.lit(":"), text), F.lit("-")))
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and an order-free content sum.
+    """Row count and an order-free content sum over names, types and values.
 
     The sum adds a 60-bit number per row; unlike an exclusive or it counts duplicates.
     It is added up map-side, one row per task is shuffled.

@@ -190,9 +190,22 @@ def test_shared_folder_comes_from_the_session(tmp_path):
     assert runtime.shared_folder(local) == runtime.shared_folder(local) == local.folder
 
 
-def test_only_small_inputs_fan_out(spark, monkeypatch, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "p"))
-    scan = spark.read.parquet(str(tmp_path / "p"))
-    assert runtime.fan_out(scan).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr(runtime, "FAN_OUT_BYTES", 1)
-    assert runtime.fan_out(scan) is scan
+def test_broken_json_is_an_error_or_set_apart(spark, tmp_path):
+    cut, lines = tmp_path / "cut.json", tmp_path / "lines.json"
+    cut.write_text('[{"audio_path": "a", "text": "x"}, {"audio_path": "b", "te')
+    lines.write_text('{"audio": "a", "transcription": "x"}\n{"audio": "b", "tr\n')
+    for read, path, good in ((read_annotations_json, cut, 0), (read_jsonl, lines, 1)):
+        with pytest.raises(Exception):
+            read(spark, str(path)).collect()
+        rows = read(spark, str(path), mode="quarantine").collect()
+        assert sum(r["_corrupt"] is None for r in rows) >= good
+        assert any(r["_corrupt"] for r in rows)
+
+
+def test_misfits_in_csv_are_an_error_or_set_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("p,n\nx,1\ny,two\n")
+    read = lambda **k: read_annotations_csv(spark, str(tmp_path), "p string, n int", **k)
+    with pytest.raises(Exception):
+        read().collect()
+    rows = {r.p: (r.n, r["_corrupt"]) for r in read(mode="quarantine").collect()}
+    assert rows["x"] == (1, None) and rows["y"][0] is None and "two" in rows["y"][1]

