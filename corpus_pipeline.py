@@ -94,7 +94,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express tokenizing and packing; tests compare each stage with brute force.
+#: SQL cannot express tokenizing and packing. A brute-force test of the rows is still missing.
 ORACLE_SQL = None
 
 
