@@ -50,8 +50,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """A string column as (first row, bytes, row offsets) in slices of about SLICE_BYTES.
+def text_slices(
+    column: pa.Array, size: int = SLICE_BYTES
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A string column as (first row, bytes, row offsets) in slices of about `size` bytes.
 
     Null texts are empty. One text longer than the slice is a slice of its own.
     """
@@ -64,7 +66,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)
     row = 0
     while row < len(flat):
-        end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, side="right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + size, side="right")) - 1
         end = min(max(end, row + 1), len(flat))
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hearken.llm.common import stored, text_slices
-from hearken.llm.pieces import SpaceLedIds
+from hearken.llm.units import LedIds, encoder
 
 SHORTEST_CUT = 16
 
@@ -45,16 +45,13 @@ def _pieces(path: str, end_id: int, capacity: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches):
-        encoder = None
         for batch in batches:
-            texts = batch.column("text")
-            for row, _, offsets in text_slices(texts):
-                encoder = encoder or SpaceLedIds(path)
-                part = texts.slice(row, len(offsets) - 1)
-                ids = batch.column("doc_id").slice(row, len(part)).to_pylist()
+            for row, data, offsets in text_slices(batch.column("text"), 1 << 22):
+                ids, at = encoder(LedIds, path).rows(data, offsets)
                 out = []
-                found = encoder.ids(t or "" for t in part.to_pylist())
-                for doc_id, raw in zip(ids, found, strict=True):
+                doc_ids = batch.column("doc_id").slice(row, len(at) - 1).to_pylist()
+                for k, doc_id in enumerate(doc_ids):
+                    raw = ids[at[k] : at[k + 1]].astype("<u4").tobytes()
                     raw += end
                     n, start = len(raw) // 4, 0
                     view = memoryview(raw)

@@ -10,14 +10,9 @@ import os
 import re
 from collections.abc import Iterable
 
-import numpy as np
-
 CACHE_ENTRIES = 300_000
 CACHED_CHARS = 64
 
-_LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_OTHER_SPACE = re.compile(r"\s\s|^\s|\s$")
-
 
 def load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,27 +57,6 @@ class _Cache:
         ]
 
 
-class SpaceLedIds(_Cache):
-    """Token ids for byte-level BPE whose words take one leading space.
-
-    Such a vocabulary never merges across a single space between two other characters: the
-    space begins the next word.
-    """
-
-    def ids(self, texts: Iterable[str]) -> list[bytes]:
-        """Of each text, its ids as little-endian unsigned 32-bit numbers."""
-        lists = [
-            text.split(" ") if not _OTHER_SPACE.search(text) else _LONE_SPACE.split(text)
-            for text in texts
-        ]
-        raw = lambda e: np.array(e.ids, "<u4").tobytes()
-        heads = self.tokenizer.encode_batch_fast(
-            [one[0] for one in lists], add_special_tokens=False
-        )
-        rest = self.values([one[1:] for one in lists], " ", raw)
-        return [raw(h) + b"".join(r) for h, r in zip(heads, rest, strict=True)]
-
-
 class SpaceFreeCounts(_Cache):
     """Token counts for a vocabulary that drops white space before it splits words.
 

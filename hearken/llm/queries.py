@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hearken.llm.best_fit import best_fit_packing
 from hearken.llm.common import table
 from hearken.llm.fingerprints import fingerprint_report
 from hearken.llm.language import identify
@@ -69,6 +70,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -80,6 +86,7 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
