@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hearken.llm.best_fit import best_fit_packing
-from hearken.llm.common import table
+from hearken.llm.common import stored, table
+from hearken.llm.cross_align import alignments, link_counts, link_scores
 from hearken.llm.fingerprints import fingerprint_report
 from hearken.llm.language import identify
+from hearken.llm.lexical import ranked_search
 from hearken.llm.ngram_join import jaccard_classes
 from hearken.llm.packing import harmonic_packing
 from hearken.llm.quality import quality_scores
@@ -70,6 +72,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    a, b = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    aligned = alignments(docs, a, b).withColumn("groups_sha256", digest).drop("groups")
+    kept = stored(aligned, "alignments")
+    return link_scores(kept, link_counts(kept)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"))
@@ -86,10 +103,44 @@ QUERIES = {
     "op8_secret_scans": op8_secret_scans,
     "op9_warc": op9_warc,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
+_TERMS = (
+    "unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    "'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))"
+)
+
 ORACLE_SQL: dict[str, str] = {
+    # every document scored for every item
+    "op12_ranked_lexical_search": f"""
+        with d as (select row_number() over () as r, doc_id, text from documents),
+        t as (select r, doc_id, {_TERMS} as term from d),
+        lengths as (select r, count(*) as n from t group by r),
+        tf as (select r, doc_id, term, count(*) as tf from t group by all),
+        df as (select term, count(*) as df from tf group by term),
+        c as (select count(*) as docs, cast(sum(n) as bigint) as terms from lengths),
+        i as (select row_number() over () as i, item_id, text from benchmark),
+        q as (
+            select i, item_id, term, count(*) as repeats
+            from (select i, item_id, {_TERMS} as term from i) group by all
+        ),
+        s as (
+            select i, item_id, r, doc_id, cast(sum(
+                repeats * cast(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) as bigint)
+                * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))
+            ) as bigint) as score
+            from q join tf using (term) join df using (term) join lengths using (r), c
+            group by all
+        ),
+        ranked as (
+            select *, row_number() over (partition by i order by score desc, doc_id, r) as rank
+            from s where score > 0
+        )
+        select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+    """,
     # what must come out of the archives, from the pages themselves
     "op9_warc": """
         with p as (

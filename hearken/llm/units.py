@@ -225,8 +225,9 @@ class LedIds:
     between an ASCII letter, mark or digit and one of another kind.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         self.tokenizer = load(path)
+        self.tokenizer.encode_special_tokens = plain_specials
         self.lead = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.lead[i] = token.startswith("Ġ") or token == "Ċ"
@@ -359,6 +360,6 @@ def _rows(parts: Parts, cut: pa.Array, ranges: np.ndarray) -> tuple[np.ndarray,
 
 
 @lru_cache(maxsize=2)
-def encoder(kind: type, path: str):
+def encoder(kind: type, source):
     """One encoder per worker process, kept from task to task."""
-    return kind(path)
+    return kind(source)
