@@ -79,12 +79,13 @@ def labelled_corpus(spark, d):
     path = F.concat(F.col("doc_id").cast("string"), F.lit(".wav"))
     rows = lab(spark, d).select(
         path.alias(PATH_COLUMN),
-        # the word mark is not allowed in the texts
-        F.translate("text", "|", "").alias(TEXT_COLUMN),
+        F.col("text").alias(TEXT_COLUMN),
         F.col("test").alias(FLAG_COLUMN),
     )
     write_results_csv(rows, source)
-    made = prepare_flagged_corpus(spark, source, scratch_path(spark, "corpus"), "../../data")
+    made = prepare_flagged_corpus(
+        spark, source, scratch_path(spark, "corpus"), "../../data", word_mark="drop"
+    )
     return made.records.select(
         "audio", "text", "split", F.md5(joined(F.col("labels"))).alias("labels")
     )

@@ -1,7 +1,7 @@
 """Column functions: each takes columns and returns a column, without reading or moving data."""
 
 from hearken.functions.labels import argmax, encode_chars, unmask_decode
-from hearken.functions.paths import absolute_path, prefix_path, rebase_path
+from hearken.functions.paths import absolute_path, canonical_path, prefix_path, rebase_path
 from hearken.functions.prompts import (
     chat_message,
     fill_template,

@@ -1,14 +1,16 @@
 """Character labels: text to ids, ids to text, scores to ids.
 
 A vocabulary maps single characters and two special tokens to ids, so Unicode itself bounds
-it. It enters a query as a constant lookup array: no join, and one step per character
+it. It enters a query as a constant lookup table: no join, and one step per character
 however large the alphabet is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from hearken.runtime import ColumnLike, as_column
@@ -28,29 +30,76 @@ def split_chars(text: ColumnLike) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
 
 
-def _ids_by_code_point(vocab: Vocabulary) -> Column:
-    """Constant array whose element at a code point is the id of that character."""
+PAGE_BITS = 8
+PAGE = 1 << PAGE_BITS
+
+
+def page_table(vocab: Vocabulary) -> tuple[list[int], list[int]]:
+    """Ids by code point in two levels: the page of each run of 256 code points, and the pages.
+
+    Only runs with a known character have a page of their own; all others share page 0, which
+    holds the unknown id. The pages come one after the other in one list.
+    """
     by_code = {ord(ch): i for ch, i in vocab.items() if len(ch) == 1}
     # the space is written as the word mark
     by_code[ord(" ")] = vocab[WORD_MARK]
-    unknown = vocab[UNKNOWN]
-    table = (str(by_code.get(code, unknown)) for code in range(max(by_code) + 1))
+    used = sorted({code >> PAGE_BITS for code in by_code})
+    page_of = [0] * (max(used) + 1)
+    ids = [vocab[UNKNOWN]] * (PAGE * (len(used) + 1))
+    for place, run in enumerate(used, 1):
+        page_of[run] = place
+    for code, i in by_code.items():
+        ids[page_of[code >> PAGE_BITS] * PAGE + code % PAGE] = i
+    return page_of, ids
+
+
+def _constant(values: Sequence[int]) -> Column:
     # one literal, folded to an array by the optimizer
-    return F.split(F.lit(",".join(table)), ",").cast("array<int>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
 
 
 def char_id(ch: ColumnLike, vocab: Vocabulary) -> Column:
     """Id of one character, unknown ones get the id of `[UNK]`."""
-    known = F.get(_ids_by_code_point(vocab), F.ascii(as_column(ch)))
-    return F.coalesce(known, F.lit(vocab[UNKNOWN]))
+    page_of, ids = map(_constant, page_table(vocab))
+    code = F.ascii(as_column(ch))
+    page = F.coalesce(F.get(page_of, F.shiftright(code, PAGE_BITS)), F.lit(0))
+    return F.coalesce(F.get(ids, page * PAGE + code % PAGE), F.lit(vocab[UNKNOWN]))
 
 
 def encode_chars(text: ColumnLike, vocab: Vocabulary) -> Column:
-    """Text as an array of character ids."""
-    table, unknown = _ids_by_code_point(vocab), F.lit(vocab[UNKNOWN])
-    return F.transform(
-        split_chars(text), lambda ch: F.coalesce(F.get(table, F.ascii(ch)), unknown)
-    )
+    """Text as an array of character ids; null stays null.
+
+    A whole Arrow batch is looked up at once: its bytes become code points, these go through
+    the two levels of `page_table` by index. Per character this was measured faster than a
+    lookup in a lambda, and the constant grows by a page for each run of characters in use.
+    """
+    page_of, ids = page_table(vocab)
+    # beyond the last page everything is unknown
+    page_of = [*page_of, 0]
+
+    @F.arrow_udf("array<int>")
+    def encode(texts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        first, known = np.array(page_of), np.array(ids, np.int32)
+        flat = pc.fill_null(texts, "").cast(pa.large_binary())
+        offsets = np.frombuffer(flat.buffers()[1], np.int64)
+        offsets = offsets[flat.offset : flat.offset + len(flat) + 1]
+        data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        page = first[np.minimum(codes >> PAGE_BITS, len(first) - 1)]
+        found = known[page * PAGE + codes % PAGE]
+        # a character begins at each byte that continues none
+        begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        bounds = pa.array(begun[offsets].astype(np.int32), mask=np.append(_nulls(texts), False))
+        return pa.ListArray.from_arrays(bounds, pa.array(found))
+
+    return encode(as_column(text))
+
+
+def _nulls(values: pa.Array):
+    return values.is_null().to_numpy(zero_copy_only=False)
 
 
 def ids_to_text(ids: ColumnLike, vocab: Vocabulary) -> Column:

@@ -17,8 +17,9 @@ def split_words(text: ColumnLike) -> Column:
     return F.array_remove(parts, "")
 
 
-def _pair_udf(form: str):
-    """A function of two texts: their "edits", edit "script" or aligned "slots".
+def alignments():
+    """Plain functions of two lists of words: their edits, and their edit script (A: equal, S:
+    replaced, D: only in the first, I: only in the second; alphabetically first with S as A).
 
     Everything is nested so that it travels to the workers by value.
     """
@@ -43,8 +44,7 @@ def _pair_udf(form: str):
             masks[word] = masks.get(word, 0) | (1 << i)
         return masks, (1 << len(words)) - 1
 
-    def edits(ref, hyp):
-        a, b = ref.split(), hyp.split()
+    def edits(a, b):
         if a == b:
             return 0
         masks, full = positions(a)
@@ -53,8 +53,7 @@ def _pair_udf(form: str):
             pass
         return len(b) + rising.bit_count() - falling.bit_count()
 
-    def edit_script(ref, hyp):
-        a, b = ref.split(), hyp.split()
+    def edit_script(a, b):
         same = 0
         for x, y in zip(a, b):
             if x != y:
@@ -93,10 +92,17 @@ def _pair_udf(form: str):
                     j -= 1
         return "".join(out) + "D" * i + "I" * j
 
-    def slots(ref, hyp):
-        words = iter(hyp.split())
+    return edits, edit_script
+
+
+def _pair_udf(form: str):
+    """A function of two texts: their "edits", edit "script" or aligned "slots"."""
+    edits, edit_script = alignments()
+
+    def slots(a, b):
+        words = iter(b)
         text = []
-        for letter in edit_script(ref, hyp):
+        for letter in edit_script(a, b):
             text.append("\t" if letter == "I" else " ")
             if letter != "D":
                 text.append(next(words))
@@ -106,7 +112,7 @@ def _pair_udf(form: str):
 
     @F.pandas_udf(T.IntegerType() if form == "edits" else T.StringType())
     def compare(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-        return pd.Series([of_pair(r, h) for r, h in zip(ref, hyp)], dtype=object)
+        return pd.Series([of_pair(r.split(), h.split()) for r, h in zip(ref, hyp)], dtype=object)
 
     return compare
 

@@ -6,6 +6,8 @@ from hearken.operators.alphabet import (
     ctc_vocab,
     distinct_chars,
     lookup_ids,
+    marked_rows,
+    without_mark,
 )
 from hearken.operators.batches import length_batches, pad_batch
 from hearken.operators.ctc import ctc_greedy_decode
@@ -56,6 +58,7 @@ __all__ = [
     "latest_checkpoint",
     "length_batches",
     "lookup_ids",
+    "marked_rows",
     "missing_audio",
     "pad_batch",
     "preference_triples",
@@ -72,4 +75,5 @@ __all__ = [
     "wer_by_system",
     "wer_of_columns",
     "with_existing_audio",
+    "without_mark",
 ]

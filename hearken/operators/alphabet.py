@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearken.functions.labels import (
     PADDING,
@@ -12,7 +12,7 @@ from hearken.functions.labels import (
     char_id,
     split_chars,
 )
-from hearken.runtime import ColumnLike
+from hearken.runtime import ColumnLike, as_column
 
 MAX_TOKENS = 0x110000 + 2
 
@@ -37,13 +37,34 @@ def alphabet(df: DataFrame, text: ColumnLike = "text") -> DataFrame:
     return ordered.select(F.posexplode("chars").alias("pos", "ch"))
 
 
-def ctc_vocab(df: DataFrame, text: ColumnLike = "text") -> DataFrame:
+REJECT, DROP, SPACE = "reject", "drop", "space"
+
+
+def without_mark(text: ColumnLike, policy: str = REJECT) -> Column:
+    """A text without the word mark: `drop` leaves it out, `space` puts a space in its place.
+
+    With `reject` texts stay as they are; `marked_rows` tells whether there is one to reject.
+    """
+    if policy not in (REJECT, DROP, SPACE):
+        raise ValueError(f"policy must be {REJECT!r}, {DROP!r} or {SPACE!r}, got {policy!r}")
+    text = as_column(text)
+    if policy == REJECT:
+        return text
+    return F.replace(text, F.lit(WORD_MARK), F.lit("" if policy == DROP else " "))
+
+
+def marked_rows(df: DataFrame, text: ColumnLike = "text") -> int:
+    """How many texts hold the word mark."""
+    return df.agg(F.count_if(F.contains(as_column(text), F.lit(WORD_MARK)))).scalar()
+
+
+def ctc_vocab(df: DataFrame, text: ColumnLike = "text", policy: str = REJECT) -> DataFrame:
     """Vocabulary `(ch, id)`: characters by code point, the space as `|`, then two specials.
 
     A text without any space still gets the mark, at the end. A literal `|` in the texts
-    would share the mark's id and is refused.
+    would share the mark's id and is refused, or treated by the `policy` of `without_mark`.
     """
-    chars = distinct_chars(df, text)
+    chars = distinct_chars(df, without_mark(text, policy))
     checked = F.when(
         F.col("ch") == WORD_MARK,
         F.raise_error(F.lit(f"the corpus holds the word mark {WORD_MARK!r}")).cast("string"),

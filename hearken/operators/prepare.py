@@ -6,7 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hearken.runtime import ColumnLike, as_column
+from hearken.functions.paths import canonical_path
+from hearken.runtime import ColumnLike, as_column, quoted
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -72,17 +73,31 @@ def bundle_splits(train: DataFrame, evaluation: DataFrame) -> DataFrame:
     )
 
 
-def with_existing_audio(df: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
-    """Rows whose clip is in the listing.
+_PATH_KEY = "_canonical_path"
 
-    A plain semi join: adaptive execution splits a path that many rows share.
+
+def _file_keys(files: DataFrame, path: str, base: str) -> DataFrame:
+    return files.select(canonical_path(F.col(quoted(path)), base).alias(_PATH_KEY))
+
+
+def with_existing_audio(
+    df: DataFrame, files: DataFrame, path: str = "path", base: str = "/"
+) -> DataFrame:
+    """Rows whose clip is in the listing, however either side spells its path.
+
+    Both sides are compared in their canonical form, relative paths as seen from `base`. A plain
+    semi join: adaptive execution splits a path that many rows share.
     """
-    return df.join(files.select(path), path, "left_semi")
+    keyed = df.withColumn(_PATH_KEY, canonical_path(F.col(quoted(path)), base))
+    return keyed.join(_file_keys(files, path, base), _PATH_KEY, "left_semi").drop(_PATH_KEY)
 
 
-def missing_audio(df: DataFrame, files: DataFrame, path: str = "path") -> DataFrame:
-    """Rows whose clip is not in the listing: the skip report."""
-    return df.join(files.select(path), path, "left_anti")
+def missing_audio(
+    df: DataFrame, files: DataFrame, path: str = "path", base: str = "/"
+) -> DataFrame:
+    """Rows whose clip is not in the listing: the skip report. Paths as in `with_existing_audio`."""
+    keyed = df.withColumn(_PATH_KEY, canonical_path(F.col(quoted(path)), base))
+    return keyed.join(_file_keys(files, path, base), _PATH_KEY, "left_anti").drop(_PATH_KEY)
 
 
 def prep_report(

@@ -14,14 +14,24 @@ def best_run(
 ) -> DataFrame:
     """Best step of each run with its metric; the earliest step on ties.
 
-    Missing and not-a-number metrics never win. Runs are combined map-side.
+    Missing and not-a-number metrics never win. First each run's best metric is found, then the
+    least step among those that reach it. Both are aggregates of single numbers, which are
+    combined in hash tables before the shuffle, so that no row of the log is sorted for it.
     """
     value = F.col(metric)
-    seen = log.where(value.isNotNull() & ~F.isnan(value.cast("double")))
-    rank = -value if greater_is_better else value
-    return seen.groupBy(run).agg(
-        F.min_by(F.struct(F.col(step).alias("step"), value.alias("metric")), F.struct(rank, step)).alias("b")
-    ).select(run, F.col("b.step").alias("best_step"), F.col("b.metric").alias("best_metric"))
+    seen = log.where(value.isNotNull() & ~F.isnan(value.cast("double"))).select(
+        F.col(run).alias("_run"), F.col(step).alias("_step"), value.alias("_metric")
+    )
+    best = F.max("_metric") if greater_is_better else F.min("_metric")
+    reached = seen.groupBy("_run").agg(best.alias("_best"))
+    reached = reached.select(F.col("_run").alias("_of"), "_best")
+    same = seen["_run"].eqNullSafe(reached["_of"]) & (seen["_metric"] == reached["_best"])
+    return (
+        seen.join(reached, same)
+        .groupBy("_run")
+        .agg(F.min("_step").alias("best_step"), F.min("_best").alias("best_metric"))
+        .withColumnRenamed("_run", run)
+    )
 
 
 def latest_checkpoint(names: DataFrame, name: str = "name") -> DataFrame:

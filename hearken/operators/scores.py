@@ -83,21 +83,35 @@ def wer_of_columns(
     ref: str,
     systems: Sequence[str],
     normalizer: Normalizer | None = None,
+    counts: bool = False,
 ) -> DataFrame:
-    """Summary `(system, wer)` over hypothesis columns, all of them in one pass."""
+    """Summary `(system, wer)` over hypothesis columns, all of them in one pass.
+
+    `counts` adds what the rate is made of: `utterances`, `ref_words` and `edits`.
+    """
     clean = normalizer or as_column
     places = range(len(systems))
     texts = df.select(
         clean(F.col(quoted(ref))).alias("ref"),
         *[clean(F.col(quoted(s))).alias(f"hyp{i}") for i, s in enumerate(systems)],
     )
-    counts = texts.select(
+    edits = texts.select(
         F.size(split_words("ref")).alias("words"),
         *[word_edits("ref", f"hyp{i}").alias(f"edits{i}") for i in places],
     )
-    scores = counts.agg(*[pooled_wer(f"edits{i}", "words").alias(f"wer{i}") for i in places])
+    pooled = edits.agg(
+        F.count(F.lit(1)).alias("utterances"),
+        F.coalesce(F.sum("words"), F.lit(0)).alias("ref_words"),
+        *[F.coalesce(F.sum(f"edits{i}"), F.lit(0)).alias(f"edits{i}") for i in places],
+        *[pooled_wer(f"edits{i}", "words").alias(f"wer{i}") for i in places],
+    )
+    known = [F.col("utterances"), F.col("ref_words")]
     named = [
-        F.struct(F.lit(s).alias("system"), F.col(f"wer{i}").alias("wer"))
+        F.struct(
+            F.lit(s).alias("system"),
+            *[*known, F.col(f"edits{i}").alias("edits")][: 3 * counts],
+            F.col(f"wer{i}").alias("wer"),
+        )
         for i, s in enumerate(systems)
     ]
-    return scores.select(F.inline(F.array(*named)))
+    return pooled.select(F.inline(F.array(*named)))

@@ -6,6 +6,7 @@ executor or a later stage never repeats the reading and cleaning.
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -26,15 +27,22 @@ from hearken.operators import (
     ctc_vocab,
     drop_empty,
     exact_split,
+    marked_rows,
     missing_audio,
     prep_report,
     select_dropna,
     split_by_flag,
     to_canonical,
     with_existing_audio,
+    without_mark,
 )
+from hearken.functions.labels import WORD_MARK
+from hearken.operators.alphabet import REJECT
 from hearken.runtime import spread
 from hearken.sources import (
+    export_once,
+    fingerprint,
+    list_audio,
     materialize_once,
     publish_version,
     read_annotations_csv,
@@ -66,6 +74,7 @@ class PreparedCorpus:
 class LabelledCorpus:
     records: DataFrame
     vocab: DataFrame
+    marked: int = 0
 
 
 def annotation_schema(
@@ -82,7 +91,7 @@ def prepare_corpus(
     source_csv: str,
     out: str,
     audio_folder: str,
-    files: DataFrame,
+    files: DataFrame | None = None,
     path_column: str = PATH_COLUMN,
     text_column: str = TEXT_COLUMN,
     test_size: float = 0.1,
@@ -96,8 +105,12 @@ def prepare_corpus(
 ) -> PreparedCorpus:
     """Annotation CSV to records, manifests and alphabet of an exact train/test split.
 
-    `files` lists the existing clips in the column `path`. `null_values` are words that mean a
-    missing value; `multi_line` and `partitions`: see the reader and `spread`.
+    `files` lists the existing clips in the column `path`; without it `audio_folder`, seen from
+    `cwd`, is listed. `null_values` are words that mean a missing value; `multi_line` and
+    `partitions`: see the reader and `spread`.
+
+    Tables and exports are written again when an argument or an input they depend on changes,
+    and only then. Raises when a part of the split has no rows.
     """
 
     def clean() -> DataFrame:
@@ -111,16 +124,43 @@ def prepare_corpus(
         )
         return drop_empty(rows.na.drop("any", subset=["path"]), "text")
 
-    cleaned = materialize_once(spark, f"{out}/clean", clean)
+    cleaned = materialize_once(
+        spark,
+        f"{out}/clean",
+        clean,
+        arguments={
+            "columns": [path_column, text_column],
+            "audio_folder": audio_folder,
+            "null_values": list(null_values),
+            "multi_line": multi_line,
+        },
+        inputs=[source_csv],
+    )
+    if files is None:
+        files = list_audio(spark, posixpath.join(cwd, audio_folder))
     # stored, since the split reads it more than once
-    found = materialize_once(spark, f"{out}/found", lambda: with_existing_audio(cleaned, files))
+    found = materialize_once(
+        spark,
+        f"{out}/found",
+        lambda: with_existing_audio(cleaned, files, base=cwd),
+        arguments={"files": fingerprint(files.select("path")).first().asDict(), "cwd": cwd},
+        inputs=[f"{out}/clean"],
+    )
     corpus = materialize_once(
-        spark, f"{out}/corpus", lambda: exact_split(found, "path", test_size, seed)
+        spark,
+        f"{out}/corpus",
+        lambda: exact_split(found, "path", test_size, seed),
+        arguments={"test_size": test_size, "seed": seed},
+        inputs=[f"{out}/found"],
     )
-    write_split_jsonl(corpus, f"{out}/records", "path", "text")
-    write_manifest(corpus, f"{out}/manifest", absolute_path("path", cwd), "text")
+    assert_split(corpus, parts=[*["train"] * (test_size < 1), *["test"] * (test_size > 0)])
     chars = alphabet(by_part(corpus, "train"), "text")
-    write_alphabet(chars, f"{out}/alphabet")
+    for name, write in {
+        "records": lambda path: write_split_jsonl(corpus, path, "path", "text"),
+        "manifest": lambda path: write_manifest(corpus, path, absolute_path("path", cwd), "text"),
+        "alphabet": lambda path: write_alphabet(chars, path),
+    }.items():
+        _export(spark, out, name, write, {"cwd": cwd})
     rows_clean = cleaned.agg(F.count("*")).scalar()
     report = prep_report(corpus, F.lit(True), "split").withColumnRenamed("rows_kept", "rows_found")
     records = read_jsonl(spark, f"{out}/records", f"{SPLIT_RECORD_SCHEMA}, split string")
@@ -131,12 +171,17 @@ def prepare_corpus(
     return PreparedCorpus(
         records=records,
         report=report.drop("rows_read").withColumn("rows_clean", rows_clean),
-        missing=missing_audio(cleaned.select("path"), files),
+        missing=missing_audio(cleaned.select("path"), files, base=cwd),
         alphabet=chars,
         version=version,
     )
 
 
+def _export(spark, out: str, name: str, write, arguments: dict) -> None:
+    path = f"{out}/{name}"
+    export_once(spark, path, lambda: write(path), arguments, [f"{out}/corpus"])
+
+
 def by_part(df: DataFrame, part: str) -> DataFrame:
     return df.where(F.col("split") == part)
 
@@ -159,12 +204,21 @@ def prepare_json_corpus(
         )
         return raw.withColumn("text", normalize_cyrillic("text"))
 
-    cleaned = materialize_once(spark, f"{out}/clean", clean)
+    cleaned = materialize_once(spark, f"{out}/clean", clean, arguments={}, inputs=[source_json])
     corpus = materialize_once(
-        spark, f"{out}/corpus", lambda: exact_split(cleaned, "audio_path", test_size, seed)
+        spark,
+        f"{out}/corpus",
+        lambda: exact_split(cleaned, "audio_path", test_size, seed),
+        arguments={"test_size": test_size, "seed": seed},
+        inputs=[f"{out}/clean"],
     )
-    write_manifest(corpus, f"{out}/manifest", absolute_path("audio_path", cwd), "text")
-    write_alphabet(alphabet(corpus, "text"), f"{out}/alphabet", extra_space)
+    for name, write in {
+        "manifest": lambda path: write_manifest(
+            corpus, path, absolute_path("audio_path", cwd), "text"
+        ),
+        "alphabet": lambda path: write_alphabet(alphabet(corpus, "text"), path, extra_space),
+    }.items():
+        _export(spark, out, name, write, {"cwd": cwd, "extra_space": extra_space})
     return corpus
 
 
@@ -179,26 +233,66 @@ def prepare_flagged_corpus(
     null_values: tuple[str, ...] = (),
     multi_line: bool = True,
     partitions: int | None = None,
+    word_mark: str = REJECT,
 ) -> LabelledCorpus:
     """Annotation CSV with a test flag to labelled train and eval records.
 
-    The vocabulary comes from the training part only.
+    The vocabulary comes from the training part only. A literal word mark in the texts would
+    share its id with the space. `word_mark` says what becomes of it before anything is written:
+    `reject` raises with the number of such texts, `drop` leaves the mark out, `space` puts a
+    space there; `marked` counts the texts that held one.
     """
     names = [path_column, text_column, flag_column]
 
-    def clean() -> DataFrame:
+    def rows() -> DataFrame:
         schema = annotation_schema(path_column, text_column, flag_column)
         raw = spread(
             read_annotations_csv(spark, source_csv, schema, null_values, multi_line), partitions
         )
         rows = to_canonical(
             select_dropna(raw, names), {path_column: "audio", text_column: "text", flag_column: "test"}
-        ).withColumns({"audio": prefix_path("audio", audio_root), "text": normalize_punct("text")})
+        ).withColumns(
+            {
+                "audio": prefix_path("audio", audio_root),
+                "marked": F.contains("text", F.lit(WORD_MARK)),
+                "text": normalize_punct(without_mark("text", word_mark)),
+            }
+        )
         return split_by_flag(rows, "test").drop("test")
 
-    corpus = assert_split(materialize_once(spark, f"{out}/corpus", clean))
+    def clean() -> DataFrame:
+        if word_mark == REJECT and (n := marked_rows(rows(), "text")):
+            raise ValueError(f"{n} texts hold the word mark {WORD_MARK!r}")
+        return rows()
+
+    stage = materialize_once(
+        spark,
+        f"{out}/corpus",
+        clean,
+        arguments={
+            "columns": names,
+            "audio_root": audio_root,
+            "null_values": list(null_values),
+            "multi_line": multi_line,
+            "word_mark": word_mark,
+        },
+        inputs=[source_csv],
+    )
+    corpus = assert_split(stage.drop("marked"))
     vocab = materialize_once(
-        spark, f"{out}/vocab", lambda: ctc_vocab(by_part(corpus, "train"), "text").coalesce(1)
+        spark,
+        f"{out}/vocab",
+        lambda: ctc_vocab(by_part(corpus, "train"), "text").coalesce(1),
+        inputs=[f"{out}/corpus"],
+    )
+    export_once(
+        spark,
+        f"{out}/vocab_json",
+        lambda: write_vocab_json(vocab, f"{out}/vocab_json"),
+        inputs=[f"{out}/vocab"],
+    )
+    return LabelledCorpus(
+        corpus.withColumn("labels", encode_chars("text", collect_vocab(vocab))),
+        vocab,
+        stage.agg(F.count_if("marked")).scalar(),
     )
-    write_vocab_json(vocab, f"{out}/vocab_json")
-    return LabelledCorpus(corpus.withColumn("labels", encode_chars("text", collect_vocab(vocab))), vocab)

@@ -7,7 +7,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearken.functions import merge_request, normalize_full
+from hearken.functions import (
+    chat_message,
+    fill_template,
+    merge_request,
+    normalize_full,
+    render_chat,
+)
 from hearken.operators import (
     assemble_hypotheses,
     attach_outputs,
@@ -27,6 +33,20 @@ class Evaluation:
     summary: DataFrame
     skipped: DataFrame | None = None
     errors: DataFrame | None = None
+    prompts: DataFrame | None = None
+    merges: DataFrame | None = None
+
+
+def corrector_prompts(
+    wide: DataFrame, system: str, template: str, key: str = "utt_id"
+) -> DataFrame:
+    """`(key, prompt)`: what a corrector is asked about one system's text, as a chat prompt.
+
+    The template's placeholder is `{instruction}`. A clip without a text has no prompt.
+    """
+    asked = fill_template(template, instruction=F.col(quoted(system)))
+    prompt = render_chat(F.array(chat_message("user", asked)))
+    return wide.where(F.col(quoted(system)).isNotNull()).select(key, prompt.alias("prompt"))
 
 
 def evaluate_systems(
@@ -38,12 +58,15 @@ def evaluate_systems(
     tie: str = "first",
     key: str = "utt_id",
     ref: str = "ref",
+    prompt_system: str | None = None,
+    prompt_template: str = "{instruction}",
 ) -> Evaluation:
     """Normalised scores of each system, their vote and, if given, a corrector's output.
 
     `hyps` is long, `(key, system, hyp)`; `corrected` holds `(key, corrected)`. Voting and
     scoring use the details table as written, so the alignment is done once. It keeps the
-    texts as given in columns ending in `_raw`.
+    texts as given in columns ending in `_raw`. With `prompt_system`, `prompts` asks a corrector
+    about that system's text as given.
     """
     wide = assemble_hypotheses(refs.select(key, ref), hyps, systems, key)
     scored = [*systems, "rover"]
@@ -59,7 +82,10 @@ def evaluate_systems(
     save_dataset(voted, f"{out}/details")
     details = load_dataset_dir(refs.sparkSession, f"{out}/details")
     write_results_csv(details, f"{out}/details_csv")
-    return Evaluation(details, wer_of_columns(details, ref, scored))
+    prompts = None
+    if prompt_system is not None:
+        prompts = corrector_prompts(details, f"{prompt_system}_raw", prompt_template, key)
+    return Evaluation(details, wer_of_columns(details, ref, scored), prompts=prompts)
 
 
 def merge_requests(
@@ -76,12 +102,16 @@ def evaluate_raw(
     systems: Sequence[str],
     out: str,
     bom: bool = True,
+    merge: tuple[str, str] | None = None,
+    merge_text: str = "",
 ) -> Evaluation:
     """Scores of raw, un-normalised outputs on the flagged test part.
 
     `annotations` holds `(audio, text, test)`, `files` existing clips as `path`, `outputs`
     is long, `(audio, system, hyp, error)`. Clips without a file and clips on which any
-    system failed are left out of the scores: `skipped` holds them, `errors` the failed outputs. Raises when the test part is empty.
+    system failed are left out of the scores: `skipped` holds them, `errors` the failed outputs.
+    `merge` names two systems whose versions a language model is asked to merge, with the system
+    message `merge_text`: `merges`. Raises when the test part is empty.
     """
     test = by_flag(annotations, "test", 1).select("audio", F.col("text").alias("ground_truth"))
     if test.isEmpty():
@@ -93,4 +123,6 @@ def evaluate_raw(
     details = load_dataset_dir(annotations.sparkSession, f"{out}/details")
     write_results_csv(details, f"{out}/details_csv", bom)
     skipped = test.join(details.select("audio"), "audio", "left_anti")
-    return Evaluation(details, wer_of_columns(details, "ground_truth", systems), skipped, failed)
+    merges = merge_requests(details, *merge, merge_text) if merge else None
+    summary = wer_of_columns(details, "ground_truth", systems)
+    return Evaluation(details, summary, skipped, failed, merges=merges)

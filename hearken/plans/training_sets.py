@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from hearken.operators import (
+    chat_preference,
     instruction_text,
     join_segments,
     preference_triples,
@@ -28,10 +29,15 @@ def build_preference_set(
     path: str,
     version_root: str | None = None,
     version_name: str = "preferences",
+    chat: bool = False,
 ) -> DataFrame:
-    """Preference triples of the training records, stored and optionally published."""
+    """Preference triples of the training records, stored and optionally published.
+
+    With `chat` each field is a list of one chat message instead of a text.
+    """
     pairs = machine_texts(records, segments)
-    save_dataset(preference_triples(pairs, template, "transcription", "hyp"), path)
+    triples = preference_triples(pairs, template, "transcription", "hyp")
+    save_dataset(chat_preference(triples) if chat else triples, path)
     stored = load_dataset_dir(records.sparkSession, path)
     if version_root:
         publish_version(stored, version_root, version_name)

@@ -15,13 +15,14 @@ from hearken.sources.datasets import (
     write_results_csv,
     write_split_jsonl,
 )
-from hearken.sources.stages import materialize_once
+from hearken.sources.stages import export_once, materialize_once
 from hearken.sources.versions import fingerprint, publish_version, read_version, registry
 from hearken.sources.vocabulary import write_alphabet, write_vocab_json
 
 __all__ = [
     "ANNOTATION_SCHEMA",
     "SPLIT_RECORD_SCHEMA",
+    "export_once",
     "fingerprint",
     "list_audio",
     "load_dataset_dir",
