@@ -8,8 +8,8 @@ No token of either tokenizer reaches over a lone space or line feed, so the grou
 those of its parts between them. Each slice of texts becomes a dictionary of parts, and a part is
 encoded and aligned once while its worker knows it; texts take their groups from flat arrays.
 
-What is counted over the corpus goes through small tables: a slice lists its distinct linked
-pairs once, these are summed by pair, and the sums return to the slice that asked for them.
+What is counted over the corpus goes through small tables: a block of slices lists its distinct
+linked pairs once, these are summed by pair, and the sums return to the block that asked.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ from hearken.llm.units import (
     take,
 )
 
-SLICE = 1 << 23
+SLICE = 1 << 21
+SLICES_PER_BLOCK = 8
 MARK = "▁"
 
 
@@ -211,6 +212,37 @@ class AlignedParts:
         return text, np.diff(bounds)
 
 
+class BlockPairs:
+    """The distinct pairs of a block, numbered as they come, and how often each is linked."""
+
+    def __init__(self):
+        self.pairs = np.zeros(0, np.int64)  # sorted
+        self.place = np.zeros(0, np.int64)
+        self.times = np.zeros(0, np.int64)
+
+    def add(self, links: np.ndarray) -> np.ndarray:
+        """Count more links; the place of each."""
+        some, inverse, n = np.unique(links, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.pairs, some)
+        known = np.zeros(len(some), bool)
+        inside = at < len(self.pairs)
+        known[inside] = self.pairs[at[inside]] == some[inside]
+        place = np.empty(len(some), np.int64)
+        place[known] = self.place[at[known]]
+        fresh = ~known
+        place[fresh] = len(self.pairs) + np.arange(np.count_nonzero(fresh))
+        self.times = np.append(self.times, np.zeros(np.count_nonzero(fresh), np.int64))
+        self.times[place] += n
+        self.pairs = np.insert(self.pairs, at[fresh], some[fresh])
+        self.place = np.insert(self.place, at[fresh], place[fresh])
+        return place[inverse]
+
+    def listed(self) -> np.ndarray:
+        out = np.empty(len(self.pairs), np.int64)
+        out[self.place] = self.pairs
+        return out
+
+
 ALIGNED = (
     "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, "
     "links array<int>, pairs array<long>, times array<long>"
@@ -230,18 +262,30 @@ def _aligned(a_path: str, b_path: str):
     )
 
     def work(batches):
-        # a slice is known by its task and its number; the rows are stored before they are read
-        block = TaskContext.get().partitionId() << 32
+        # a block is known by its task and its number; the rows are stored before they are read
+        block, slices, pairs = TaskContext.get().partitionId() << 32, 0, BlockPairs()
         for batch in batches:
             texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
             large = lambda x: pa.scalar(x, pa.large_string())
             texts = pc.binary_join_element_wise(large(" "), texts, large(""))
             for row, data, offsets in text_slices(texts, SLICE):
+                if slices == SLICES_PER_BLOCK:
+                    yield listed(block, pairs)
+                    block, slices, pairs = block + 1, 0, BlockPairs()
                 doc_ids = batch.column("doc_id").slice(row, len(offsets) - 1)
-                yield from one_slice(block, doc_ids, data, offsets)
-                block += 1
+                yield one_slice(block, pairs, doc_ids, data, offsets)
+                slices += 1
+        if slices:
+            yield listed(block, pairs)
+
+    def listed(block, pairs):
+        cells = {"block": [block], "pairs": [pairs.listed()], "times": [pairs.times]}
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cells[f.name], f.type) if f.name in cells else pa.nulls(1, f.type) for f in schema],
+            schema=schema,
+        )
 
-    def one_slice(block, doc_ids, data, offsets):
+    def one_slice(block, pairs, doc_ids, data, offsets):
         known = encoder(AlignedParts, (a_path, b_path)).parts
         cut, ranges = led_parts(data, offsets)
         distinct, at = distinct_parts(cut)
@@ -260,7 +304,7 @@ def _aligned(a_path: str, b_path: str):
         # without the last separator of each text
         text = np.delete(text, text_ends[1:][good] - 1)
         text_ends -= np.concatenate([[0], np.cumsum(good)])
-        pairs, place, times = np.unique(links, return_inverse=True, return_counts=True)
+        place = pairs.add(links)
         groups = pa.Array.from_buffers(
             pa.string(),
             len(doc_ids),
@@ -268,7 +312,7 @@ def _aligned(a_path: str, b_path: str):
         )
         n_rows = len(doc_ids)
         nothing = pa.nulls(n_rows, pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n_rows, block)),
                 doc_ids,
@@ -282,15 +326,6 @@ def _aligned(a_path: str, b_path: str):
             ],
             schema=schema,
         )
-        listed = pa.table(
-            {"block": [block], "pairs": [pairs], "times": [times]},
-            pa.schema([schema.field(n) for n in ("block", "pairs", "times")]),
-        )
-        columns = [
-            listed[f.name].combine_chunks() if f.name in listed.column_names else pa.nulls(1, f.type)
-            for f in schema
-        ]
-        yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return work
 

@@ -44,11 +44,29 @@ def load(path: str):
     return tokenizer
 
 
+TAKEN = 1 << 20
+
+
 def take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The runs flat[start : start + length] one after the other."""
+    """The runs flat[start : start + length] one after the other.
+
+    Places are worked out for about TAKEN values at a time, so that they need little memory
+    besides the result.
+    """
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts - (ends - lengths), lengths)]
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    first = done = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(ends, done + TAKEN, side="right")))
+        upto = int(ends[last - 1])
+        if last == first + 1:
+            out[done:upto] = flat[starts[first] : starts[first] + lengths[first]]
+        else:
+            n = lengths[first:last]
+            shift = np.repeat(starts[first:last] - (ends[first:last] - n), n)
+            out[done:upto] = flat[np.arange(done, upto) + shift]
+        first, done = last, upto
+    return out
 
 
 class Runs:
