@@ -86,6 +86,17 @@ def voted_words(spark, d):
     return rover(wide(spark, d), SYSTEMS, "word_over_null").select("utt_id", "rover")
 
 
+def voted_network(spark, d):
+    made = rover(wide(spark, d), SYSTEMS, "word_over_null", align="network")
+    return made.select("utt_id", "rover")
+
+
+def of_voted(spark, d):
+    """Votes scored in the plan that makes them, with what the rates are made of."""
+    voted = rover(wide(spark, d), SYSTEMS, "word_over_null")
+    return wer_of_columns(voted, "ref", [*SYSTEMS, "rover"], normalize_full, counts=True)
+
+
 def latency(spark, d):
     timings = table(spark, d, "events").select(
         F.col("event_type").alias("system"), F.col("value").cast("decimal(18,4)").alias("seconds")
@@ -181,6 +192,69 @@ def sql_rover(over_null: bool) -> str:
       select w.utt_id, coalesce(t.rover, '') as rover from wide w left join texts t using (utt_id))"""
 
 
+SQL_NETWORK = f"""pairs as materialized (
+      select utt_id as k, {sql_words('a')} r, {sql_words('b')} h from wide),
+    {sql_scripts('pairs')},
+    first_steps as (select k, r, h, unnest(range(1, length(script)+1)) as t, script from scripts),
+    first_letters as (
+      select k, r, h, t, script[t] as letter,
+        length(replace(script[1:t],'I','')) as pos, length(replace(script[1:t],'D','')) as hi
+      from first_steps),
+    first_slots as (
+      select k, list(case letter when 'A' then [r[pos], h[hi]] when 'D' then [r[pos], '']
+        else ['', h[hi]] end order by t) as slots from first_letters group by k),
+    onto as materialized (
+      select utt_id as k, coalesce(slots, []) as r, {sql_words('c')} h,
+        list_reverse(coalesce(slots, [])) as rr, list_reverse({sql_words('c')}) as hr,
+        list_transform(list_reverse(coalesce(slots, [])),
+          lambda s: case when list_contains(s, '') then 0 else 1 end) as skip
+      from wide left join first_slots on k = utt_id),
+    over(k, n, p) as (
+      select k, 0, list_transform(range(0, len(r)+1),
+        lambda i: coalesce(list_sum(skip[1:i]), 0)::bigint) from onto
+      union all
+      select k, n+1, list_reduce(range(1, len(rr)+1), lambda q,i:
+          list_append(q, least(p[i] + case when list_contains(rr[i], w) then 0 else 1 end,
+            p[i+1]+1, q[-1]+skip[i])),
+          [p[1]+1])
+      from (select g.k, g.n, g.p, x.rr, x.skip, x.hr[g.n+1] w
+            from over g join onto x on g.k = x.k and g.n < len(x.hr))),
+    left_over as (select k, list(p order by n) m from over group by k),
+    second as (
+      select k, r, h, list_reduce(range(0, len(r)+len(h)), lambda s,step:
+        case when s.i > len(r) and s.j > len(h) then s
+          when s.i <= len(r) and s.j <= len(h)
+            and m[len(h)-s.j+1][len(r)-s.i+1]
+              + case when list_contains(r[s.i], h[s.j]) then 0 else 1 end
+              = m[len(h)-s.j+2][len(r)-s.i+2]
+            then {{'i': s.i+1, 'j': s.j+1, 's': s.s||'A'}}
+          when s.i <= len(r)
+            and m[len(h)-s.j+2][len(r)-s.i+1]
+              + case when list_contains(r[s.i], '') then 0 else 1 end
+              = m[len(h)-s.j+2][len(r)-s.i+2]
+            then {{'i': s.i+1, 'j': s.j, 's': s.s||'D'}}
+          else {{'i': s.i, 'j': s.j+1, 's': s.s||'I'}} end,
+        {{'i': 1::bigint, 'j': 1::bigint, 's': ''}}).s as script
+      from onto join left_over using (k)),
+    second_steps as (select k, r, h, unnest(range(1, length(script)+1)) as t, script from second),
+    second_letters as (
+      select k, r, h, t, script[t] as letter,
+        length(replace(script[1:t],'I','')) as pos, length(replace(script[1:t],'D','')) as hi
+      from second_steps),
+    filled as (
+      select k, t, case letter when 'A' then list_append(r[pos], h[hi])
+        when 'D' then list_append(r[pos], '') else ['', '', h[hi]] end as slot
+      from second_letters),
+    ballots as (select k, t, unnest([1,2,3]) as rank, slot from filled),
+    counted as (
+      select k, t, slot[rank] as word, count(*) as n, min(rank) as rank from ballots group by all),
+    winners as (
+      select * from counted qualify row_number() over (
+        partition by k, t order by n desc, word <> '' desc, rank) = 1),
+    texts as (
+      select k, string_agg(word, ' ' order by t) as rover from winners where word <> '' group by k)"""
+
+
 QUERIES = {
     "word_edits": (
         edits,
@@ -241,6 +315,24 @@ QUERIES = {
         f"""with recursive {SQL_UTT}, {SQL_HYP}, {SQL_WIDE}, {sql_rover(True)}
         select utt_id, rover from voted""",
     ),
+    "rover_network": (
+        voted_network,
+        f"""with recursive {SQL_UTT}, {SQL_HYP}, {SQL_WIDE}, {SQL_NETWORK}
+        select utt_id, coalesce(rover, '') as rover from wide left join texts on k = utt_id""",
+    ),
+    "wer_of_rover": (
+        of_voted,
+        f"""with recursive {SQL_UTT}, {SQL_HYP}, {SQL_WIDE}, {sql_rover(True)},
+        scored as (
+          select 'a' as system, ref, a as hyp from wide
+          union all select 'b', ref, b from wide
+          union all select 'c', ref, c from wide
+          union all select 'rover', ref, rover from wide join voted using (utt_id)),
+        lists as materialized (select system, {sql_words('ref')} r, {sql_words('hyp')} h from scored),
+        e as (select system, len(r) n, {SQL_EDITS} e from lists)
+        select system, count(*) as utterances, sum(n)::bigint as ref_words,
+          sum(e)::bigint as edits, 100.0::double * sum(e) / sum(n) as wer from e group by system""",
+    ),
     "latency_compare": (
         latency,
         """with m as (

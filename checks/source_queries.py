@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from checks.fixtures import SQL_UTT, sql_split, table, texts, utt
@@ -137,6 +139,136 @@ def row_fingerprint(spark, d):
     )
 
 
+@contextmanager
+def small_files(spark, size: str = "64k"):
+    """Ranges of this size, so that the files of the test tables have several."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, (size, "0")):
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def _kept(spark, df):
+    path = scratch_path(spark, "records")
+    save_dataset(df, path)
+    return load_dataset_dir(spark, path)
+
+
+def csv_in_ranges(spark, d):
+    """One CSV file with line breaks inside texts, read by many tasks."""
+    path = scratch_path(spark, "csv")
+    docs = texts(spark, d, "documents").select(F.col("doc_id").cast("string").alias("audio_path"), "text")
+    write_results_csv(docs.coalesce(1), path)
+    with small_files(spark):
+        return _kept(spark, read_annotations_csv(spark, path, in_ranges=True))
+
+
+def json_in_ranges(spark, d):
+    """One JSON array, a file of all utterances, read by many tasks."""
+    path = scratch_path(spark, "json")
+    rows = utt(spark, d).select(F.col("path").alias("audio_path"), "text")
+    lines = rows.select(F.to_json(F.struct("audio_path", "text")).alias("value"))
+    # the first record opens the array, the last line closes it: one task writes the file
+    opened = spark.range(1).select(F.lit("[{}").alias("value"))
+    closed = spark.range(1).select(F.lit("]").alias("value"))
+    later = lines.select(F.concat(F.lit(","), "value").alias("value"))
+    opened.unionByName(later).unionByName(closed).coalesce(1).write.text(path)
+    with small_files(spark, "16k"):
+        found = read_annotations_json(spark, path, in_ranges=True)
+        return _kept(spark, found.where("audio_path is not null"))
+
+
+def bad_json_files(spark, d):
+    """Files of one array each; those of one role are cut short."""
+    path = scratch_path(spark, "json")
+    rows = utt(spark, d).groupBy("conv_id").agg(
+        F.min("turn").alias("turn"), F.to_json(F.collect_list(F.struct("path"))).alias("value")
+    )
+    cut = F.when(F.col("conv_id") % 3 == 0, F.expr("left(value, length(value) - 2)"))
+    rows.select("conv_id", cut.otherwise(F.col("value")).alias("value")).write.partitionBy(
+        "conv_id"
+    ).text(path)
+    found = read_annotations_json(spark, f"{path}/*", "path string", mode="quarantine")
+    bad = F.col("_corrupt").isNotNull()
+    return found.groupBy(bad.alias("bad")).agg(
+        F.count("*").alias("rows"), F.count("path").alias("paths")
+    )
+
+
+def bad_json_lines(spark, d):
+    """JSON lines, some of them cut short."""
+    path = scratch_path(spark, "jsonl")
+    line = F.to_json(F.struct(F.col("path").alias("audio"), F.col("ref").alias("transcription")))
+    cut = F.when(F.col("turn") % 3 == 0, F.left("line", F.lit(20))).otherwise(F.col("line"))
+    rows = utt(spark, d).withColumn("line", line).select(cut.alias("value"))
+    rows.write.text(path)
+    found = read_jsonl(spark, path, mode="quarantine")
+    return found.select("audio", "transcription", "_corrupt")
+
+
+def _touch(frames):
+    """Write small files at the paths of a table: names and sizes are what is looked for."""
+    from pathlib import Path
+
+    for frame in frames:
+        for path, size in zip(frame["path"], frame["size"]):
+            Path(path).parent.mkdir(parents=True, exist_ok=True)
+            Path(path).write_bytes(b"." * int(size))
+        yield frame[["path"]]
+
+
+def clip_name(doc_id):
+    """Names that readers of tables take for hidden, among others."""
+    return F.concat(F.element_at(F.array(F.lit(""), F.lit("_"), F.lit(".")), (doc_id % 3 + 1).cast("int")),
+                    doc_id.cast("string"), F.lit(".wav"))
+
+
+def touch_clips(spark, rows):
+    rows.mapInPandas(_touch, "path string").write.format("noop").mode("overwrite").save()
+
+
+def listed_files(spark, d):
+    """Clips in nested folders: empty ones, and names that begin with a dot or an underscore."""
+    root = scratch_path(spark, "clips").removeprefix("file:")
+    doc_id = F.col("doc_id")
+    folder = F.concat_ws("/", F.lit(root), "source", (doc_id % 5).cast("string"))
+    rows = table(spark, d, "documents").select(
+        F.concat_ws("/", folder, clip_name(doc_id)).alias("path"), (doc_id % 4).alias("size")
+    )
+    touch_clips(spark, rows)
+    touch_clips(spark, rows.limit(3).withColumn("path", F.concat("path", F.lit(".txt"))))
+    found = list_audio(spark, root)
+    return found.select(F.regexp_extract("path", "[^/]+/[^/]+/[^/]+$", 0).alias("path"), "length")
+
+
+def stage_after_change(spark, d):
+    """A stage that is asked for with other arguments is made anew, and so is the one after it."""
+    root = scratch_path(spark, "stages")
+    rows = utt(spark, d)
+
+    def run(shift: int):
+        first = materialize_once(
+            spark,
+            f"{root}/first",
+            lambda: rows.select("utt_id", (F.col("turn") + shift).alias("turn")),
+            arguments={"shift": shift},
+        )
+        return materialize_once(
+            spark,
+            f"{root}/second",
+            lambda: first.select("utt_id", (F.col("turn") * 2).alias("twice")),
+            inputs=[f"{root}/first"],
+        )
+
+    run(1)
+    return run(5)
+
+
 def stage_once(spark, d):
     path = scratch_path(spark, "stage")
     materialize_once(spark, path, lambda: utt(spark, d).select("utt_id", normalize_full("text").alias("ref")))
@@ -157,7 +289,42 @@ def _cells(**columns: str) -> str:
     )
 
 
+SQL_NAME = "['', '_', '.'][(doc_id % 3 + 1)::int] || doc_id || '.wav'"
+
 QUERIES = {
+    "annotations_csv_in_ranges": (
+        csv_in_ranges,
+        "select doc_id::varchar as audio_path, nullif(text, '') as text from documents",
+    ),
+    "annotations_json_in_ranges": (
+        json_in_ranges,
+        f"with {SQL_UTT} select path as audio_path, text from utt",
+    ),
+    "json_bad_files": (
+        bad_json_files,
+        """select bad, count(*) filter (not bad or first) as rows,
+          count(*) filter (not bad) as paths
+        from (select conv_id % 3 = 0 as bad,
+                row_number() over (partition by conv_id) = 1 as first from conversations)
+        group by bad""",
+    ),
+    "jsonl_bad_lines": (
+        bad_json_lines,
+        f"""with {SQL_UTT}, lines as (
+          select path, ref, turn, '{{"audio":"' || path || '"' as line from utt)
+        select case when turn % 3 <> 0 then path end as audio,
+          case when turn % 3 <> 0 then ref end as transcription,
+          case when turn % 3 = 0 then left(line, 20) end as _corrupt from lines""",
+    ),
+    "audio_listing_files": (
+        listed_files,
+        f"""select source || '/' || (doc_id % 5) || '/' || {SQL_NAME} as path,
+          doc_id % 4 as length from documents""",
+    ),
+    "stage_after_change": (
+        stage_after_change,
+        f"with {SQL_UTT} select utt_id, (turn + 5) * 2 as twice from utt",
+    ),
     "annotations_csv_round_trip": (
         annotations_csv,
         f"with {SQL_UTT} select path, text, nullif(role,'system') as role from utt",

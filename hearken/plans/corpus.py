@@ -102,6 +102,7 @@ def prepare_corpus(
     null_values: tuple[str, ...] = (),
     multi_line: bool = True,
     partitions: int | None = None,
+    in_ranges: bool = False,
 ) -> PreparedCorpus:
     """Annotation CSV to records, manifests and alphabet of an exact train/test split.
 
@@ -115,9 +116,10 @@ def prepare_corpus(
 
     def clean() -> DataFrame:
         schema = annotation_schema(path_column, text_column)
-        raw = spread(
-            read_annotations_csv(spark, source_csv, schema, null_values, multi_line), partitions
+        raw = read_annotations_csv(
+            spark, source_csv, schema, null_values, multi_line, in_ranges=in_ranges
         )
+        raw = spread(raw, partitions)
         rows = raw.select(
             rebase_path(F.col(f"`{path_column}`"), audio_folder).alias("path"),
             normalize_full(F.col(f"`{text_column}`")).alias("text"),
@@ -195,12 +197,14 @@ def prepare_json_corpus(
     cwd: str = "/",
     extra_space: bool = True,
     partitions: int | None = None,
+    in_ranges: bool = False,
 ) -> DataFrame:
     """Annotation JSON to Cyrillic-only manifests and an alphabet over all rows."""
 
     def clean() -> DataFrame:
         raw = select_dropna(
-            spread(read_annotations_json(spark, source_json), partitions), ["audio_path", "text"]
+            spread(read_annotations_json(spark, source_json, in_ranges=in_ranges), partitions),
+            ["audio_path", "text"]
         )
         return raw.withColumn("text", normalize_cyrillic("text"))
 
@@ -233,6 +237,7 @@ def prepare_flagged_corpus(
     null_values: tuple[str, ...] = (),
     multi_line: bool = True,
     partitions: int | None = None,
+    in_ranges: bool = False,
     word_mark: str = REJECT,
 ) -> LabelledCorpus:
     """Annotation CSV with a test flag to labelled train and eval records.
@@ -246,9 +251,10 @@ def prepare_flagged_corpus(
 
     def rows() -> DataFrame:
         schema = annotation_schema(path_column, text_column, flag_column)
-        raw = spread(
-            read_annotations_csv(spark, source_csv, schema, null_values, multi_line), partitions
+        raw = read_annotations_csv(
+            spark, source_csv, schema, null_values, multi_line, in_ranges=in_ranges
         )
+        raw = spread(raw, partitions)
         rows = to_canonical(
             select_dropna(raw, names), {path_column: "audio", text_column: "text", flag_column: "test"}
         ).withColumns(
