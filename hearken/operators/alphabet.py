@@ -55,7 +55,7 @@ def without_mark(text: ColumnLike, policy: str = REJECT) -> Column:
 
 def marked_rows(df: DataFrame, text: ColumnLike = "text") -> int:
     """How many texts hold the word mark."""
-    return df.agg(F.count_if(F.contains(as_column(text), F.lit(WORD_MARK)))).scalar()
+    return df.agg(F.count_if(F.contains(as_column(text), F.lit(WORD_MARK)))).first()[0]
 
 
 def ctc_vocab(df: DataFrame, text: ColumnLike = "text", policy: str = REJECT) -> DataFrame:

@@ -300,5 +300,5 @@ def prepare_flagged_corpus(
     return LabelledCorpus(
         corpus.withColumn("labels", encode_chars("text", collect_vocab(vocab))),
         vocab,
-        stage.agg(F.count_if("marked")).scalar(),
+        stage.agg(F.count_if("marked")).first()[0],
     )
