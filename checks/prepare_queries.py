@@ -97,8 +97,8 @@ def template(spark, d):
 
 
 def _pairs(spark, d):
-    heard = hyp(spark, d).where("system = 'a'")
-    return attach_outputs(utt(spark, d).select("utt_id", "ref"), heard)
+    """All systems' outputs with the truth."""
+    return attach_outputs(hyp(spark, d), utt(spark, d).select("utt_id", "ref"))
 
 
 def triples(spark, d):
@@ -156,6 +156,12 @@ def checked_split(spark, d):
     return checked.groupBy("split").agg(F.count("*").alias("rows"))
 
 
+def split_repeated(spark, d):
+    """A key with few values, one of them null: the parts are exact in rows all the same."""
+    rows = utt(spark, d).withColumn("key", F.when(F.col("role") != "user", F.col("role")))
+    return exact_split(rows, "key").groupBy("split").agg(F.count("*").alias("rows"))
+
+
 def event_props(spark, d):
     """Properties of error events arrive cut short and do not parse."""
     props = F.when(
@@ -179,8 +185,9 @@ def missing(spark, d):
 
 
 def attached(spark, d):
-    corrected = hyp(spark, d).where("system = 'c'").select("utt_id", F.col("hyp").alias("out"))
-    return attach_outputs(_wide(spark, d).select("utt_id", "a"), corrected)
+    corrected = hyp(spark, d).select("utt_id", "system", F.col("hyp").alias("out"))
+    truth = utt(spark, d).select("utt_id", "ref")
+    return attach_outputs(corrected, truth)
 
 
 def report(spark, d):
@@ -235,7 +242,7 @@ QUERIES = {
     "preference_triples": (
         triples,
         f"""with {SQL_UTT}, {SQL_HYP} select 'Correct this transcript: ' || hyp as prompt,
-        ref as chosen, hyp as rejected from hyp join utt using (utt_id) where system='a'""",
+        ref as chosen, hyp as rejected from hyp join utt using (utt_id)""",
     ),
     "chat_preference": (
         chat_triples,
@@ -243,13 +250,13 @@ QUERIES = {
         'Correct this transcript: ' || hyp as prompt_content,
         'assistant' as chosen_role, ref as chosen_content,
         'assistant' as rejected_role, hyp as rejected_content
-        from hyp join utt using (utt_id) where system='a'""",
+        from hyp join utt using (utt_id)""",
     ),
     "instruction_text": (
         instructions,
         f"""with {SQL_UTT}, {SQL_HYP}
         select '### Heard:\n' || hyp || '\n\n### Said:\n' || ref as text
-        from hyp join utt using (utt_id) where system='a'""",
+        from hyp join utt using (utt_id)""",
     ),
     "merge_request": (
         merge_messages,
@@ -292,9 +299,15 @@ QUERIES = {
         _wide,
         f"with {SQL_UTT}, {SQL_HYP}, {SQL_WIDE} select * from wide",
     ),
+    "exact_split_repeated_keys": (
+        split_repeated,
+        """select split, count(*) as rows from (
+          select case when row_number() over () <= ceil(count(*) over () * 0.1::double)
+            then 'test' else 'train' end as split from conversations) group by split""",
+    ),
     "attach_outputs": (
         attached,
-        f"with {SQL_UTT}, {SQL_HYP}, {SQL_WIDE} select utt_id, a, c as out from wide",
+        f"with {SQL_UTT}, {SQL_HYP}, {SQL_WIDE} select utt_id, system, hyp as out, ref from hyp join utt using (utt_id)",
     ),
     "prep_report": (
         report,

@@ -33,11 +33,6 @@ from hearken.operators import (
 )
 
 
-def pairs(spark, d, system):
-    heard = hyp(spark, d).where(F.col("system") == system)
-    return attach_outputs(heard, utt(spark, d).select("utt_id", "ref", "text"))
-
-
 def wide(spark, d):
     refs = utt(spark, d).select("utt_id", "ref")
     return assemble_hypotheses(refs, hyp(spark, d), SYSTEMS)
@@ -48,24 +43,25 @@ def edits(spark, d):
 
 
 def scripts(spark, d):
-    return pairs(spark, d, "a").select("utt_id", align_words("ref", "hyp").alias("script"))
+    heard = attach_outputs(hyp(spark, d), utt(spark, d).select("utt_id", "ref"))
+    return heard.select("utt_id", "system", align_words("ref", "hyp").alias("script"))
 
 
 def detail(spark, d):
-    heard = hyp(spark, d).where("system = 'b'")
-    return utterance_edits(heard, utt(spark, d), detail=True).drop("system")
+    return utterance_edits(hyp(spark, d), utt(spark, d), detail=True)
 
 
 def pooled(spark, d):
-    return pairs(spark, d, "c").agg(corpus_wer("ref", "hyp").alias("wer"))
+    heard = attach_outputs(hyp(spark, d), utt(spark, d).select("utt_id", "ref"))
+    return heard.groupBy("system").agg(corpus_wer("ref", "hyp").alias("wer"))
 
 
 def raw_and_full(spark, d):
     """The same outputs against the raw and against the normalised truth."""
-    outputs = hyp(spark, d).where("system = 'c'")
+    outputs = hyp(spark, d)
     truth = utt(spark, d).select("utt_id", F.col("text").alias("ref"))
-    raw = wer_by_system(outputs, truth).select(F.lit("raw").alias("form"), "wer")
-    full = wer_by_system(outputs, truth, normalize_full).select(F.lit("full").alias("form"), "wer")
+    raw = wer_by_system(outputs, truth).select(F.lit("raw").alias("form"), "system", "wer")
+    full = wer_by_system(outputs, truth, normalize_full).select(F.lit("full").alias("form"), "system", "wer")
     return raw.unionByName(full)
 
 
@@ -139,12 +135,10 @@ def user_scores(spark, d):
     return score_batches(rows, make_stub, ["text"], "n_chars long", keep=["utt_id"])
 
 
-def sql_pairs(system: str) -> str:
-    """CTE `pairs(k, r, h)` of one system against the truth."""
-    return f"""pairs as materialized (
-      select utt_id as k, {sql_words('ref')} r, {sql_words('hyp')} h
-      from hyp join utt using (utt_id) where system = '{system}')"""
-
+#: CTE `pairs(k, r, h)` of all systems against the truth.
+SQL_KEYED_PAIRS = f"""pairs as materialized (
+  select utt_id || '/' || system as k, {sql_words('ref')} r, {sql_words('hyp')} h
+  from hyp join utt using (utt_id))"""
 
 SQL_ALL_PAIRS = f"""pairs as materialized (
   select utt_id as k, system, {sql_words('ref')} r, {sql_words('hyp')} h
@@ -264,32 +258,32 @@ QUERIES = {
     ),
     "align_words": (
         scripts,
-        f"""with recursive {SQL_UTT}, {SQL_HYP}, {sql_pairs('a')}, {sql_scripts('pairs')}
-        select k as utt_id, script from scripts""",
+        f"""with recursive {SQL_UTT}, {SQL_HYP}, {SQL_KEYED_PAIRS}, {sql_scripts('pairs')}
+        select split_part(k,'/',1) as utt_id, split_part(k,'/',2) as system, script from scripts""",
     ),
     "edit_detail": (
         detail,
-        f"""with recursive {SQL_UTT}, {SQL_HYP}, {sql_pairs('b')}, {sql_scripts('pairs')},
+        f"""with recursive {SQL_UTT}, {SQL_HYP}, {SQL_KEYED_PAIRS}, {sql_scripts('pairs')},
         c as (select *, length(script) - length(replace(script,'D','')) as d,
           length(script) - length(replace(script,'I','')) as i, {SQL_EDITS} as e from scripts)
-        select k as utt_id, e::int as edits, (e-d-i)::int as substitutions, d::int as deletions,
+        select split_part(k,'/',1) as utt_id, split_part(k,'/',2) as system, e::int as edits, (e-d-i)::int as substitutions, d::int as deletions,
           i::int as insertions, len(r)::int as ref_words from c""",
     ),
     "corpus_wer": (
         pooled,
-        f"""with {SQL_UTT}, {SQL_HYP}, {sql_pairs('c')}
-        select 100.0::double * sum({SQL_EDITS}) / sum(len(r)) as wer from pairs""",
+        f"""with {SQL_UTT}, {SQL_HYP}, {SQL_ALL_PAIRS}
+        select system, 100.0::double * sum({SQL_EDITS}) / sum(len(r)) as wer from pairs group by system""",
     ),
     "wer_raw_and_normalized": (
         raw_and_full,
         f"""with {SQL_UTT}, {SQL_HYP}, pairs as materialized (
-          select 'raw' as form, {sql_raw_words('text')} r, {sql_words('hyp')} h
-          from hyp join utt using (utt_id) where system = 'c'
+          select 'raw' as form, system, {sql_raw_words('text')} r, {sql_words('hyp')} h
+          from hyp join utt using (utt_id)
           union all
-          select 'full', {sql_words('ref')}, {sql_words('hyp')}
-          from hyp join utt using (utt_id) where system = 'c')
-        select form, 100.0::double * sum({SQL_EDITS}) / sum(len(r)) as wer from pairs
-        group by form""",
+          select 'full', system, {sql_words('ref')}, {sql_words('hyp')}
+          from hyp join utt using (utt_id))
+        select form, system, 100.0::double * sum({SQL_EDITS}) / sum(len(r)) as wer from pairs
+        group by form, system""",
     ),
     "wer_by_system": (
         by_system,
