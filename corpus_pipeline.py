@@ -38,8 +38,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, Jaccard 0.8 and more.
 
-    The one with the smallest id stays; rows of one id are one document. Rows without an id
-    are in no group and stay.
+    The one with the smallest id stays. Of rows that agree in id and text one stays; rows of one
+    id with different texts are all kept with that id. Rows without an id are in no group and
+    stay.
     """
     stay = (
         jaccard_classes(docs, width=5, percent=80)
@@ -47,7 +48,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         .select("doc_id")
         .distinct()
     )
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 

@@ -68,14 +68,15 @@ def write_pages(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z")
     revisits = stored(
         large.join(last.where("n > 1"), "name")
         .where("not page_id <=> refers_to")
-        .select("page_id", "refers_to")
+        .select("page_id", "name", "refers_to")
         .distinct(),
         "revisits",
     )
+    # by id and payload: an id may have several payloads
     both = pages.join(
-        revisits.select(F.col("page_id").alias("id"), "refers_to"),
+        revisits.select(F.col("page_id").alias("id"), "name", "refers_to"),
         F.col("page_id").eqNullSafe(F.col("id"))
-        & (F.octet_length("html") >= LEAST_REVISIT),
+        & (F.when(F.octet_length("html") >= LEAST_REVISIT, same) == F.col("name")),
         "left",
     )
     revisit = F.col("refers_to").isNotNull()
@@ -114,7 +115,7 @@ def parse_header(piece: bytes) -> tuple[int, int, dict[str, str]] | None:
     if not length:
         return None
     fields = {}
-    for name in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To"):
+    for name in ("WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Payload-Digest"):
         found = re.search(_FIELD % name.encode(), head)
         if found:
             fields[name] = found[1].decode("utf-8", "replace")
@@ -129,7 +130,7 @@ def payload_of(block: bytes) -> bytes:
 
 _CANDIDATE = (
     "file string, share long, piece long, place long, next long, leaves long, kind string, "
-    "page_id long, refers_to long, size long, digest string, whole boolean"
+    "page_id long, refers_to long, size long, digest string, whole boolean, declared string"
 )
 
 
@@ -157,7 +158,7 @@ def _candidates(batches):
             if r[4] is not None:
                 leaves[r[3]] = leaves.get(r[4], r[4])
                 r[5] = leaves[r[3]]
-        rows.append([*share, -1, used, None, None, None, None, None, None, None, None])
+        rows.append([*share, -1, used] + [None] * (len(names) - 4))
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names
         )
@@ -178,7 +179,7 @@ def _candidates(batches):
             if used or start:
                 place = used - len(MAGIC)
                 found = parse_header(piece)
-                row = [file, start, n, place] + [None] * 8
+                row = [file, start, n, place] + [None] * (len(names) - 4)
                 if found:
                     head, length, fields = found
                     block = piece[head : head + length]
@@ -188,9 +189,10 @@ def _candidates(batches):
                         _page(fields.get("WARC-Record-ID")),
                         _page(fields.get("WARC-Refers-To")),
                     ]
+                    row[12] = (fields.get("WARC-Payload-Digest") or "").removeprefix("sha1:")
                     if len(block) == length:
                         payload = payload_of(block)
-                        row[9:] = [len(payload), hashlib.sha1(payload).hexdigest(), True]
+                        row[9:12] = [len(payload), hashlib.sha1(payload).hexdigest(), True]
                     else:
                         row[11] = False
                 rows.append(row)
@@ -261,7 +263,8 @@ def _join_pieces(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files at `path`: kind, page_id, refers_to, size, digest of payload.
+    """Records of the WARC files at `path`: kind, page_id, refers_to, size and digest of the
+    payload, and the digest `declared` in the header.
 
     Only records on the chain from the start of their file are returned: magic inside payloads
     is rejected, and what follows a broken record is not guessed. `size` and `digest` (SHA-1)
@@ -346,15 +349,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("size", F.coalesce("joined_size", "size"))
             .withColumn("digest", F.coalesce("joined_digest", "digest"))
         )
-    return records.select("kind", "page_id", "refers_to", "size", "digest")
+    return records.select("kind", "page_id", "refers_to", "size", "digest", "declared")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Write `pages(page_id, url, html, ..)` as WARC files and report what is read back.
 
     Returns page_id, payload_bytes, payload_digest (SHA-1 in hex), record_type, refers_to, one
-    row per page; size and digest of a revisit are those of the response it refers to. See
-    `write_pages` for nulls and repeated rows; an empty table gives an empty result. `path` is
+    row per page; size and digest of a revisit are those of the response it refers to. Rows of
+    one page_id with different payloads are records of their own, found again by id and digest.
+    See `write_pages` for nulls and repeated rows; an empty table gives an empty result. `path` is
     a new folder, by default one in the shared folder.
     """
     spark = pages.sparkSession
@@ -362,12 +366,14 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     write_pages(pages, path)
     records = read_records(spark, path)
     responses = records.where("kind = 'response'")
+    # an id may have several payloads: a revisit names that of its response
     of = responses.select(
         F.col("page_id").alias("refers_to"),
+        F.col("digest").alias("declared"),
         F.col("size").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
-    ).dropDuplicates(["refers_to"])
-    revisits = records.where("kind = 'revisit'").select("page_id", "kind", "refers_to")
+    ).dropDuplicates(["refers_to", "declared"])
+    revisits = records.where("kind = 'revisit'").select("page_id", "kind", "refers_to", "declared")
     columns = [
         "page_id",
         "payload_bytes",
@@ -378,5 +384,5 @@ def archive_pages(pages: DataFrame, path: str | None = None) -> DataFrame:
     return (
         responses.withColumnsRenamed({"size": "payload_bytes", "digest": "payload_digest"})
         .select(*columns)
-        .unionByName(revisits.join(of, "refers_to", "left").select(*columns))
+        .unionByName(revisits.join(of, ["refers_to", "declared"], "left").select(*columns))
     )

@@ -222,6 +222,20 @@ def test_warc(spark):
     assert archive_pages(pages.where("false")).count() == 0
 
 
+def test_warc_of_repeated_ids(spark):
+    a, b, c = "a" * 1500, "b" * 2000, "c" * 20
+    rows = [(5, a), (9, a), (5, b), (9, b), (3, b), (7, c), (7, "d" * 1200), (7, "d" * 1200), (None, a)]
+    want = []
+    for i, h in rows:
+        last = max(j for j, g in rows if g == h and j is not None)
+        again = len(h) >= 1000 and i != last
+        kind = "revisit" if again else "response"
+        digest = hashlib.sha1(h.encode()).hexdigest()
+        want.append((i, len(h), digest, kind, last if again else None))
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("url", F.lit("u"))
+    assert Counter(map(tuple, archive_pages(pages).collect())) == Counter(want)
+
+
 def test_fingerprints(rows, docs):
     got = {r.doc_id: r for r in fingerprint_report(docs).collect()}
     for k, (i, t) in enumerate(rows):
