@@ -44,7 +44,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeats(docs, length=400).drop("kept")
+    # what remains, as text: a character that was cut in two is replaced
+    remains = F.make_valid_utf8(F.col("kept").cast("string"))
+    return remove_repeats(docs, length=400).withColumn("text", remains).drop("kept")
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
