@@ -12,10 +12,11 @@ threshold. The join is exact:
    each pair of parts is a task of its own, so a hot key is spread over many tasks.
 4. In a task a signature tree is built over each part: nodes hold OR-combined bitmaps of their
    shingles and the range of set sizes. Both trees are walked together, dropping node pairs
-   whose greatest possible overlap is too small. This is done twice: over the prefixes, which
-   gives pairs that may link; then, with the classes that such pairs connect in one block, over
-   the whole sets, where what is left is compared exactly. A pair whose sides are already connected adds nothing and
-   is skipped.
+   whose greatest possible overlap is too small. This is done twice. The first walk knows each
+   set by its size and a bitmap of the whole set, of two to four bits a shingle; what it lets
+   through overlaps nearly enough to link. The second is over the texts of the classes that such
+   pairs connect, where what is left is compared exactly. A pair whose sides are already
+   connected adds nothing and is skipped.
 5. Components of the links are found by rounds of grouped minima.
 """
 
@@ -28,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from hearken.llm.common import shingle_sets, stored, text_slices
@@ -40,27 +40,46 @@ FAN_OUT = 16
 PART_DOCS = 512
 PART_SHINGLES = 1 << 20
 PAIRS_AT_ONCE = 1 << 14
+LEAST_BITS = 256
+
+
+def bitmap(shingles: np.ndarray, bits: int) -> np.ndarray:
+    """A set as bits, each shingle at its hash modulo `bits` (a power of two)."""
+    marks = np.zeros(bits, bool)
+    marks[shingles & np.uint64(bits - 1)] = True
+    return np.packbits(marks)
+
+
+def own_bits(n: int) -> int:
+    """Bits of the bitmap that a set of `n` shingles is known by: two to four for each."""
+    return max(LEAST_BITS, 1 << (2 * n - 1).bit_length())
+
+
+def folded(maps: np.ndarray, bits: int) -> np.ndarray:
+    """Bitmaps of the same sets with fewer bits."""
+    while maps.shape[1] * 8 > bits:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
 
 
 class SignatureTree:
     """Levels of nodes over sets; level 0 are the sets, each node above stands for FAN_OUT below.
 
-    A node has the OR of its sets' bitmaps, the range of their sizes, the most shingles that a
-    set has beyond its bits, and the most that are outside the given part of a set.
+    A node has the OR of its sets' bitmaps, the range of their sizes, and the most shingles that
+    a set has beyond its bits.
     """
 
-    def __init__(self, parts: list[np.ndarray], sizes: list[int], bits: int):
-        self.order = sorted(range(len(parts)), key=lambda i: (sizes[i], int(parts[i][0])))
-        size = np.array([sizes[i] for i in self.order], np.int64)
-        given = np.array([len(parts[i]) for i in self.order], np.int64)
-        maps = np.zeros((len(parts), bits), bool)
-        for row, i in enumerate(self.order):
-            maps[row, parts[i] & np.uint64(bits - 1)] = True
-        hidden = given - maps.sum(axis=1)
-        packed = np.packbits(maps, axis=1).view(np.uint64)
-        self.levels = [(packed, size, size, hidden, size - given)]
+    def __init__(self, maps: np.ndarray, sizes: list[int]):
+        size = np.array(sizes, np.int64)
+        packed = np.ascontiguousarray(maps).view(np.uint64)
+        order = np.lexsort((packed[:, 0], size))
+        self.order = order.tolist()
+        packed, size = packed[order], size[order]
+        hidden = size - np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
+        self.levels = [(packed, size, size, hidden)]
         while len(self.levels[-1][1]) > FAN_OUT:
-            maps, low, high, hidden, rest = self.levels[-1]
+            maps, low, high, hidden = self.levels[-1]
             cut = np.arange(0, len(low), FAN_OUT)
             self.levels.append(
                 (
@@ -68,42 +87,36 @@ class SignatureTree:
                     np.minimum.reduceat(low, cut),
                     np.maximum.reduceat(high, cut),
                     np.maximum.reduceat(hidden, cut),
-                    np.maximum.reduceat(rest, cut),
                 )
             )
 
     def possible(self, other: SignatureTree, level: int, a, b, percent: int) -> np.ndarray:
-        """Which node pairs may hold a pair that links.
-
-        If the parts are the rarest shingles, the set whose part ends earlier shares what its
-        part shares, and at most all outside it.
-        """
-        maps_a, low_a, high_a, hidden_a, rest_a = (x[a] for x in self.levels[level])
-        maps_b, low_b, high_b, hidden_b, rest_b = (x[b] for x in other.levels[level])
+        """Which node pairs may hold a pair that links: the set with fewer shingles beyond its
+        bits shares at most those, besides the bits of both."""
+        maps_a, low_a, high_a, hidden_a = (x[a] for x in self.levels[level])
+        maps_b, low_b, high_b, hidden_b = (x[b] for x in other.levels[level])
         keep = (percent * low_a <= 100 * high_b) & (percent * low_b <= 100 * high_a)
         shared = np.bitwise_count(maps_a & maps_b).sum(axis=1, dtype=np.int64)
-        most = shared + np.minimum(hidden_a, hidden_b) + np.maximum(rest_a, rest_b)
+        most = shared + np.minimum(hidden_a, hidden_b)
         most = np.minimum(most, np.minimum(high_a, high_b))
         return keep & ((100 + percent) * most >= percent * (low_a + low_b))
 
 
 def possible_pairs(
-    left: list[np.ndarray],
-    right: list[np.ndarray] | None,
+    left: np.ndarray,
+    right: np.ndarray | None,
     sizes: list[int],
     percent: int,
-    wanted=None,
+    wanted,
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Walk the trees over `left` and `right` (or `left` and itself) together.
+    """Walk the trees over the bitmaps `left` and `right` (or `left` and itself) together.
 
     Yields arrays of numbers of sets, those of `right` after those of `left`, of all pairs
-    whose possible overlap suffices and for which `wanted(a, b)` holds, if given.
+    whose possible overlap suffices and for which `wanted(a, b)` holds.
     """
-    n = len(left)
-    longest = max(len(x) for x in left + (right or []))
-    bits = max(256, 1 << (4 * longest - 1).bit_length())
-    tree = SignatureTree(left, sizes[:n], bits)
-    other = SignatureTree(right, sizes[n:], bits) if right is not None else tree
+    n, bits = len(left), left.shape[1] * 8
+    tree = SignatureTree(left, sizes[:n])
+    other = SignatureTree(right, sizes[n:]) if right is not None else tree
     names_a = np.array(tree.order)
     names_b = np.array(other.order) + (n if right is not None else 0)
     level = min(len(tree.levels), len(other.levels)) - 1
@@ -119,7 +132,7 @@ def possible_pairs(
         if right is None:
             keep = a <= b if level else a < b
             a, b = a[keep], b[keep]
-        if level == 0 and wanted is not None and len(a):
+        if level == 0 and len(a):
             keep = wanted(names_a[a], names_b[b])
             a, b = a[keep], b[keep]
         if not len(a):
@@ -151,22 +164,16 @@ def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def tree_links(
-    left: list[np.ndarray],
-    right: list[np.ndarray] | None,
-    percent: int,
-    sizes: list[int] | None = None,
+def spanning(
+    left: np.ndarray, right: np.ndarray | None, sizes: list[int], percent: int, links=None
 ) -> Iterator[tuple[int, int]]:
-    """Links that connect all linked sets of `left` (and, if given, those across to `right`).
+    """Pairs that connect all sets of `left` (and, if given, those across to `right`) that the
+    pairs whose possible overlap suffices connect; with `links(i, j)`, those for which it holds.
 
-    Sets of `right` are numbered after those of `left`. Pairs that an earlier link has
-    connected are not compared. With `sizes` the sets are prefixes of sets of these sizes, and
-    all pairs count whose possible overlap suffices.
+    Sets are given by bitmaps and sizes, those of `right` are numbered after those of `left`.
+    Pairs that an earlier one has connected are not looked at.
     """
-    sets = left + (right or [])
-    if len(sets) < 2:
-        return
-    parent = np.arange(len(sets))
+    parent = np.arange(len(sizes))
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -175,19 +182,73 @@ def tree_links(
         return i
 
     def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        roots = np.array([root(i) for i in range(len(sets))])
+        roots = np.array([root(i) for i in range(len(sizes))])
         return roots[a] != roots[b]
 
-    whole = sizes is None
-    sizes = sizes or [len(x) for x in sets]
     for a, b in possible_pairs(left, right, sizes, percent, apart):
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
             ri, rj = root(i), root(j)
-            if ri != rj and (not whole or linked(sets[i], sets[j], percent)):
+            if ri != rj and (links is None or links(i, j)):
                 parent[max(ri, rj)] = min(ri, rj)
                 yield i, j
 
 
+def tree_links(
+    left: list[np.ndarray], right: list[np.ndarray] | None, percent: int
+) -> Iterator[tuple[int, int]]:
+    """Links that connect all linked sets of `left` (and, if given, those across to `right`)."""
+    sets = left + (right or [])
+    if len(sets) < 2:
+        return
+    sizes = [len(x) for x in sets]
+    bits = max(LEAST_BITS, 1 << (4 * max(sizes) - 1).bit_length())
+    maps = np.stack([bitmap(x, bits) for x in sets])
+    yield from spanning(
+        maps[: len(left)],
+        maps[len(left) :] if right else None,
+        sizes,
+        percent,
+        lambda i, j: linked(sets[i], sets[j], percent),
+    )
+
+
+def map_links(
+    left: list[tuple[int, bytes]], right: list[tuple[int, bytes]] | None, percent: int
+) -> Iterator[tuple[int, int]]:
+    """Pairs that connect all sets that may link, by their sizes and own bitmaps.
+
+    Sets of like size have bitmaps of like width: those of one width are compared with each
+    other and with the next ones, folded to the smaller width.
+    """
+    everything = left + (right or [])
+    widths: tuple[dict, dict] = {}, {}
+    for i, (_, raw) in enumerate(everything):
+        side = widths[0] if right is None or i < len(left) else widths[1]
+        side.setdefault(len(raw) * 8, []).append(i)
+    # widths of sets whose sizes allow a link differ by so many doublings
+    reach = math.ceil(math.log2(100 / percent)) + 1
+
+    def maps_of(some: list[int], bits: int) -> np.ndarray:
+        raw = b"".join(everything[i][1] for i in some)
+        return folded(np.frombuffer(raw, np.uint8).reshape(len(some), -1), bits)
+
+    for first, a in widths[0].items():
+        for second, b in (widths[0] if right is None else widths[1]).items():
+            if right is None and second < first or max(first, second) >> reach > min(first, second):
+                continue
+            bits, same = min(first, second), right is None and first == second
+            some = a if same else a + b
+            if len(some) < 2:
+                continue
+            for i, j in spanning(
+                maps_of(a, bits),
+                None if same else maps_of(b, bits),
+                [everything[k][0] for k in some],
+                percent,
+            ):
+                yield some[i], some[j]
+
+
 def digest(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
@@ -247,11 +308,12 @@ def _profiles(width: int, percent: int, counters):
         for batch in batches:
             ids = batch.column("doc_id")
             for row, data, offsets in text_slices(batch.column("text")):
-                sizes, names, prefixes = [], [], []
+                sizes, names, prefixes, maps = [], [], [], []
                 for one in shingle_sets(data, offsets, width):
                     n = len(one)
                     sizes.append(n)
                     names.append(digest(one))
+                    maps.append(bitmap(one, own_bits(n)).tobytes() if n else b"")
                     if n:
                         order = np.lexsort((one, rarity[one & np.uint64(COUNTERS - 1)]))
                         one = one[order[: n + (-percent * n) // 100 + 1]]
@@ -262,8 +324,9 @@ def _profiles(width: int, percent: int, counters):
                         pa.array(sizes, pa.int64()),
                         pa.array(names, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
+                        pa.array(maps, pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "name", "prefix"],
+                    ["doc_id", "n_shingles", "name", "prefix", "map"],
                 )
 
     return work
@@ -278,29 +341,22 @@ def _suspects(percent: int):
         right = [r for r in rows if r[3] == second] if first != second else None
         if left and (right is None or right):
             rows = left + (right or [])
-            for i, j in tree_links(
-                [r[6] for r in left],
-                None if right is None else [r[6] for r in right],
-                percent,
-                [r[5] for r in rows],
+            for i, j in map_links(
+                [r[5:] for r in left], None if right is None else [r[5:] for r in right], percent
             ):
                 yield rows[i][4], rows[j][4]
 
     def pairs(batches) -> Iterator[tuple[int, int]]:
         task, rows = None, []
         for batch in batches:
-            column = batch.column("prefix")
-            values = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-            starts = np.concatenate([[0], np.cumsum(lengths)]).tolist()
-            names = ("key", "first", "second", "part", "id", "n")
+            names = ("key", "first", "second", "part", "id", "n", "map")
             plain = (batch.column(c).to_pylist() for c in names)
-            for k, row in enumerate(zip(*plain, strict=True)):
+            for row in zip(*plain, strict=True):
                 if row[:3] != task:
                     if len(rows) > 1:
                         yield from of(rows)
                     task, rows = row[:3], []
-                rows.append((*row, values[starts[k] : starts[k + 1]]))
+                rows.append(row)
         if len(rows) > 1:
             yield from of(rows)
 
@@ -389,7 +445,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     profiles = stored(
         docs.mapInArrow(
             _profiles(width, percent, counters),
-            "doc_id long, n_shingles long, name binary, prefix array<long>",
+            "doc_id long, n_shingles long, name binary, prefix array<long>, map binary",
         ),
         "profiles",
     )
@@ -404,7 +460,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     prefixes = (
         profiles.join(classes.select(F.col("id").alias("doc_id"), "name", "n"), ["doc_id", "name"])
         .dropDuplicates(["doc_id", "name"])
-        .select(F.col("doc_id").alias("id"), "n", "prefix")
+        .select(F.col("doc_id").alias("id"), "n", "prefix", "map")
     )
     keys = prefixes.select(F.explode("prefix").alias("key"), "id", "n")
     keys = keys.repartition("key")
@@ -431,8 +487,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tasks = ["key", "first", "second"]
     suspects = (
         _in_parts(members)
-        .join(prefixes.select("id", "prefix"), "id")
-        .select(*tasks, "part", "id", "n", "prefix")
+        .join(prefixes.select("id", "map"), "id")
+        .select(*tasks, "part", "id", "n", "map")
         .repartition(*tasks)
         .sortWithinPartitions(*tasks)
         .mapInArrow(_suspects(percent), "a long, b long")
