@@ -2,13 +2,16 @@
 
 Three patterns give the base spans. Beside them, candidate strings (runs of 20 and more token
 characters with letters and digits) are scanned for randomness: a window of fixed width slides
-over a candidate, counts per character are changed for the one that enters and the one that
-leaves, and windows of high Shannon entropy for their character class become spans. Candidates
-on the allow-list (placeholders, sequences, dates and the like) are left out.
+over a candidate, the counts of the character that enters and of the one that leaves change, and
+windows of high Shannon entropy for their character class become spans. The allow-list has two
+parts: candidates that begin or end with a placeholder word are left out as a whole, and windows
+that hold a sequence, a long word and the like are left out alone, so that a long key is not
+lost for what some place in it looks like.
 
 Entropy is kept in whole numbers: with c occurrences of each character in a window of W,
-H = log2 W - (sum of c log2 c) / W, where c log2 c is rounded to 2^-32. The sum changes by table
-differences, so it is exact however long a candidate is.
+H = log2 W - (sum of c log2 c) / W, where c log2 c is rounded to 2^-32. A step changes the sum by
+table differences at two counts, taken from the window before it; the changes are then added up.
+All lists are walked a fixed number of times, so work grows with the length of a candidate.
 """
 
 from __future__ import annotations
@@ -25,16 +28,19 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 
 WINDOW = 20
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-DIGITS = "0123456789"
-# kind, characters of a candidate, alphabet, least entropy of a window in bits
+# kind, characters of a candidate, least entropy of a window in bits
 CLASSES = (
-    ("entropy_hex", "0-9a-fA-F", DIGITS + "abcdefABCDEF", 3.05),
-    ("entropy_token", "A-Za-z0-9+/_-", LETTERS + DIGITS + "+/_-", 3.65),
+    ("entropy_hex", "0-9a-fA-F", 3.05),
+    ("entropy_token", "A-Za-z0-9+/_-", 3.65),
 )
-ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|change_?me|your[_-]|test[_-]|xxxx|"
-    r"01234|12345|abcdef|qwerty|https?/|www/|^[0-9/_-]+$|^[^0-9]+$|"
+# candidates that are no secrets, by how they begin or end
+PLACEHOLDER = (
+    r"(?i)^(example|sample|dummy|placeholder|change_?me|your[_-]|test[_-]|xxxx|https?/|www/)|"
+    r"(example|sample|dummy|placeholder)[_-]?(key|token|secret)?$"
+)
+# windows that are no secrets
+ORDINARY = (
+    r"(?i)xxxx|01234|12345|abcdef|qwerty|^[0-9/_-]+$|^[^0-9]+$|"
     r"^[0-9]*[A-Za-z]+[0-9]{0,4}$|[A-Za-z]{16}"
 )
 # sums of lengths are kept in blocks, so that long lists of matches cost no square
@@ -95,48 +101,58 @@ def _spans(name: str, kind: str, rank: int, keep: str) -> Column:
     )
 
 
-def _entropy_runs(alphabet: str, bits: float) -> str:
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for `body`, in which `name` is `value`, evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _escaped(pattern: str) -> str:
+    return pattern.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def _entropy_runs(bits: float) -> str:
     """SQL for the joined high-entropy windows of x.value, as (a, z) within it."""
     scale = 1 << 32
     table = [round(c * math.log2(c) * scale) if c else 0 for c in range(WINDOW + 2)]
     f = "array(" + ",".join(f"{v}L" for v in table) + ")"
     limit = math.floor(WINDOW * (math.log2(WINDOW) - bits) * scale)
-    chars = "filter(split(x.value, ''), ch -> ch <> '')"
-    # entering and leaving characters; one step more looks at the last window
-    steps = (
-        f"concat(transform({chars}, (ch, i) -> named_struct('e', instr('{alphabet}', ch) - 1, "
-        f"'l', if(i < {WINDOW}, -1, instr('{alphabet}', substr(x.value, i - {WINDOW - 1}, 1)) - 1))), "
-        "array(named_struct('e', -1, 'l', -1)))"
+    times = lambda ch: f"(char_length(w) - char_length(replace(w, {ch}, '')))"
+    # of the window before: how often it has the character that leaves, and the one that enters
+    entering = f"({times('chars[i]')} - if(i >= {WINDOW} and l = chars[i], 1, 0))"
+    change = (
+        f"{f}[{entering} + 1] - {f}[{entering}] "
+        f"+ if(i < {WINDOW}, 0L, {f}[{times('l')} - 1] - {f}[{times('l')}])"
+    )
+    before = f"array_join(slice(chars, greatest(i - {WINDOW}, 0) + 1, least(i, {WINDOW})), '')"
+    changes = (
+        "transform(sequence(0, size(chars) - 1), i -> "
+        + _let("w", before, _let("l", f"chars[greatest(i - {WINDOW}, 0)]", change))
+        + ")"
+    )
+    # the last characters of windows that are random and not ordinary
+    ends = (
+        f"filter(sequence({WINDOW - 1}, size(chars) - 1), i -> sums[i] <= {limit}L and not "
+        f"array_join(slice(chars, i - {WINDOW - 2}, {WINDOW}), '') rlike '{_escaped(ORDINARY)}')"
     )
-    entering = "acc.counts[greatest(d.e, 0)]"
-    leaving = "(acc.counts[greatest(d.l, 0)] + if(d.l = d.e, 1, 0))"
-    last = "element_at(acc.runs, -1)"
+    first = f"filter(ends, (e, k) -> k = 0 or e - ends[greatest(k - 1, 0)] > {WINDOW})"
+    last = f"filter(ends, (e, k) -> k = size(ends) - 1 or get(ends, k + 1) - e > {WINDOW})"
     runs = (
-        f"case when acc.n < {WINDOW} or acc.s > {limit}L then acc.runs "
-        f"when size(acc.runs) > 0 and acc.n - {WINDOW} <= get(acc.runs, size(acc.runs) - 1).z then "
-        f"concat(slice(acc.runs, 1, size(acc.runs) - 1), "
-        f"array(named_struct('a', {last}.a, 'z', acc.n))) "
-        f"else concat(acc.runs, array(named_struct('a', acc.n - {WINDOW}, 'z', acc.n))) end"
+        f"zip_with({first}, {last}, (a, z) -> named_struct('a', a - {WINDOW - 1}, 'z', z + 1))"
     )
-    return (
-        f"aggregate({steps}, named_struct('n', 0, 's', 0L, "
-        f"'counts', array_repeat(0, {len(alphabet)}), "
-        "'runs', cast(array() as array<struct<a:int,z:int>>)), (acc, d) -> named_struct("
-        "'n', acc.n + 1, "
-        f"'s', acc.s + if(d.e < 0, 0L, {f}[{entering} + 1] - {f}[{entering}]) "
-        f"+ if(d.l < 0, 0L, {f}[greatest({leaving} - 1, 0)] - {f}[{leaving}]), "
-        "'counts', transform(acc.counts, (c, j) -> c + if(j = d.e, 1, 0) - if(j = d.l, 1, 0)), "
-        f"'runs', {runs}), acc -> acc.runs)"
+    chars = "filter(split(x.value, ''), ch -> ch <> '')"
+    return _let(
+        "chars",
+        chars,
+        _let("changes", changes, _let("sums", running_sums("changes"), _let("ends", ends, runs))),
     )
 
 
-def _entropy_spans(name: str, kind: str, rank: int, alphabet: str, bits: float) -> Column:
-    allowed = ALLOWED.replace("\\", "\\\\").replace("'", "\\'")
-    runs = _entropy_runs(alphabet, bits)
+def _entropy_spans(name: str, kind: str, rank: int, bits: float) -> Column:
+    candidates = f"filter(coalesce({name}, array()), x -> not x.value rlike '{_escaped(PLACEHOLDER)}')"
     return F.expr(
-        f"flatten(transform(filter(coalesce({name}, array()), x -> not x.value rlike '{allowed}'), "
-        f"x -> transform({runs}, r -> named_struct('start', x.start + r.a, "
-        f"'rank', {rank}, 'end', x.start + r.z, 'kind', '{kind}'))))"
+        f"flatten(transform({candidates}, x -> transform({_entropy_runs(bits)}, r -> "
+        f"named_struct('start', x.start + r.a, 'rank', {rank}, 'end', x.start + r.z, "
+        f"'kind', '{kind}'))))"
     )
 
 
@@ -158,17 +174,15 @@ def secret_spans(docs: DataFrame) -> DataFrame:
             "assign",
             "assign",
             0,
-            "char_length(regexp_extract(x.value, '{}', 2)) >= 8".format(
-                ASSIGN.replace("\\", "\\\\").replace("'", "\\'")
-            ),
+            f"char_length(regexp_extract(x.value, '{_escaped(ASSIGN)}', 2)) >= 8",
         ),
         _spans("access", "access", 1, "char_length(x.value) >= 16"),
         _spans("hex", "hex", 2, "char_length(x.value) >= 32"),
     ]
-    for rank, (kind, characters, alphabet, bits) in enumerate(CLASSES, 3):
+    for rank, (kind, characters, bits) in enumerate(CLASSES, 3):
         pattern = f"(?<![{characters}])[{characters}]{{{WINDOW},}}"
         df = _with_matches(df, kind, pattern, pattern)
-        arrays.append(_entropy_spans(kind, kind, rank, alphabet, bits))
+        arrays.append(_entropy_spans(kind, kind, rank, bits))
     df = df.select("row", F.array_sort(F.concat(*arrays)).alias("spans"))
     return df.select(*[F.col("row")[c].alias(c) for c in docs.columns], "spans")
 
