@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from hearken.llm.common import IS_PUNCTUATION, LOWER, stored, text_slices
 
 BUCKETS = 1 << 14
-LEAST_SHARE = 0.005
+# pseudo-counts of the corpus as a whole in each language's trigrams
+BACKGROUND = 4096.0
+MOST_LANGUAGES = 2000
 SMOOTHING = 20.0
 UNKNOWN = "und"
 UNKNOWN_PRIOR = 0.001
@@ -70,7 +72,10 @@ def _counts(languages: list[str]):
 
 
 def trigram_model(labelled: DataFrame, languages: list[str]) -> np.ndarray:
-    """log P(trigram class | language) from all labelled texts; the last row is uniform."""
+    """log P(trigram class | language) from all labelled texts; the last row is uniform.
+
+    Each language is smoothed towards the corpus, so that one with few texts has a model, too.
+    """
     counts = (
         labelled.where(F.col("declared").isin(languages))
         .select("declared", "text")
@@ -79,9 +84,11 @@ def trigram_model(labelled: DataFrame, languages: list[str]) -> np.ndarray:
         .agg(F.sum("n").alias("n"))
     )
     # at most BUCKETS rows a language, whatever the corpus
-    total = np.full((len(languages), BUCKETS), 0.5)
+    total = np.zeros((len(languages), BUCKETS))
     for row in counts.toLocalIterator():
         total[row.lang, row.bucket] += row.n
+    corpus = total.sum(axis=0) + 0.5
+    total += BACKGROUND * corpus / corpus.sum()
     model = np.log(total / total.sum(axis=1, keepdims=True))
     return np.vstack([model, np.full((1, BUCKETS), -math.log(BUCKETS))])
 
@@ -133,8 +140,9 @@ def _smoothed(own: Column, above: Column) -> Column:
 def fuse(items: DataFrame, labelled: DataFrame) -> DataFrame:
     """Language of each of `items(kind, id, name, text, declared, host, domain, suffix)`.
 
-    `labelled(text, declared)` trains the trigrams. Languages are those declared for at least
-    LEAST_SHARE of its rows. Returns the columns without the text, and lang (UNKNOWN where no
+    `labelled(text, declared)` trains the trigrams. Languages are all those declared there,
+    however few rows they have; more than MOST_LANGUAGES are no languages and an error, since
+    each task holds a model of 128 KB for each. Returns the columns without the text, and lang (UNKNOWN where no
     language model explains the text best), posterior, rejected (UNKNOWN, without any trigram,
     or a posterior under LEAST_POSTERIOR).
 
@@ -142,12 +150,10 @@ def fuse(items: DataFrame, labelled: DataFrame) -> DataFrame:
     has no trigram and is rejected. Repeated rows are counted and returned as often.
     """
     spark = items.sparkSession
-    declared = labelled.where("declared is not null").groupBy("declared").count()
-    total = declared.agg(F.sum("count")).first()[0] or 0
-    # at most 1 / LEAST_SHARE rows
-    languages = sorted(
-        r.declared for r in declared.where(F.col("count") >= LEAST_SHARE * total).collect()
-    )
+    declared = labelled.where("declared is not null").select("declared").distinct()
+    languages = sorted(r.declared for r in declared.limit(MOST_LANGUAGES + 1).collect())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} declared languages")
     k = len(languages)
     model = spark.sparkContext.broadcast(trigram_model(labelled, languages))
     scored = items.mapInArrow(

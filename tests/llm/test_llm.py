@@ -14,6 +14,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 from pyspark.sql import functions as F  # noqa: E402
 
 from hearken.llm.fingerprints import fingerprint_report  # noqa: E402
+from hearken.llm.language import identify  # noqa: E402
 from hearken.llm.ngram_join import jaccard_classes  # noqa: E402
 from hearken.llm.packing import harmonic_packing  # noqa: E402
 from hearken.llm.queries import QUERIES  # noqa: E402
@@ -308,6 +309,24 @@ def test_languages_declared(spark, sf_dir):
     assert np.mean([r.lang == r.declared for r in got if r.declared]) >= 0.95
 
 
+SWEDISH = [
+    "Det var en gång en liten flicka som bodde i ett rött hus vid skogen med sin mormor.",
+    "På sommaren åker många människor ut till skärgården för att bada och äta jordgubbar.",
+    "Regeringen vill att fler unga ska läsa böcker och gå på bibliotek efter skolan.",
+    "När hösten kommer faller löven från träden och kvällarna blir mörka och långa.",
+]
+
+
+def test_a_rare_language_is_a_language(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    rare = [(90_000 + i, t * 3, "sv", "src") for i, t in enumerate(SWEDISH)]
+    more = docs.unionByName(spark.createDataFrame(rare, docs.schema))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rows = {r.doc_id: r for r in identify(more, pages).where("doc_id >= 90000").collect()}
+    assert [rows[90_000 + i].lang for i in range(4)] == ["sv"] * 4
+    assert not any(r.rejected for r in rows.values())
+
+
 @pytest.mark.parametrize("operator", [jaccard_classes, remove_repeats, secret_report, fingerprint_report])
 def test_empty_table(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
