@@ -2,7 +2,8 @@
 
 Every window of WINDOW bytes has an entropy. How common each entropy class is over the whole
 corpus says how improbable a window is; a window that is the most improbable of its surroundings
-for long enough is a feature (similarity digests, Roussev 2010). The features of a document go
+for long enough is a feature (similarity digests, Roussev 2010), as are the few most improbable
+windows of the whole text, so that short texts have features by the same rule. The features of a document go
 into a chain of Bloom filters of fixed size. Two documents are as alike as the filters of the
 shorter chain are like their best counterparts: the bits both have, beyond chance.
 """
@@ -24,9 +25,8 @@ from hearken.llm.repeats import _BYTE, _sliding
 WINDOW = 64
 SURROUNDING = 64
 LEAST_POPULAR = 8
-SHORT = 512
-SHORT_WINDOW = 12
-SHORTEST_WINDOW = 4
+LEAST_FEATURES = 16
+SAMPLED_PER_RANGE = 20
 ENTROPY_CLASSES = 1024
 FILTER_BITS = 2048
 FEATURES_PER_FILTER = 160
@@ -66,31 +66,34 @@ def _rolling(data: np.ndarray) -> np.ndarray:
 
 
 def features(raw: bytes, commonness: np.ndarray) -> np.ndarray:
-    """Hashes of the selected windows, in order.
-
-    A text too short for a choice has all its windows of a few bytes as features.
-    """
+    """Hashes of the selected windows: those popular among their surroundings, in order, then
+    the LEAST_FEATURES most improbable ones of all. A text shorter than a window is one."""
+    if len(raw) < WINDOW:
+        return np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)
     n = len(raw)
-    if n < SHORT:
-        width = SHORT_WINDOW if n > 4 * SHORT_WINDOW else SHORTEST_WINDOW
-        parts = [raw[i : i + width] for i in range(max(1, n - width + 1))]
-        digests = b"".join(hashlib.blake2b(p, digest_size=8).digest() for p in parts)
-        return np.frombuffer(digests, np.uint64)
+    rarest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
     found = []
     # segments overlap, so that each run of surroundings is seen once as a whole
-    for start in range(0, n - WINDOW - SURROUNDING + 2, SEGMENT):
+    for start in range(0, n - WINDOW + 1, SEGMENT):
         data = np.frombuffer(raw[start : start + SEGMENT + WINDOW + SURROUNDING - 2], np.uint8)
         hashed = _rolling(data)
         value = (commonness[entropy_classes(data)] << np.uint64(32)) | (hashed >> np.uint64(32))
+        # windows of the next segment are seen there
+        values = np.append(rarest[0], value[:SEGMENT])
+        hashes = np.append(rarest[1], hashed[:SEGMENT])
+        _, at = np.unique(hashes, return_index=True)
+        at = at[np.argsort(values[at], kind="stable")[:LEAST_FEATURES]]
+        rarest = [values[at], hashes[at]]
+        if len(value) < SURROUNDING:
+            continue
         least = _sliding(value, SURROUNDING, np.minimum)
         edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]]))
         runs = np.diff(edges)
         for at in edges[:-1][runs >= LEAST_POPULAR].tolist():
             near = value[at : at + SURROUNDING]
             found.append(hashed[at + int(np.argmin(near))])
-    if not found:
-        found.append(np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)[0])
-    return np.array(found, np.uint64)
+    popular = np.array(found, np.uint64)
+    return np.append(popular, rarest[1][~np.isin(rarest[1], popular)])
 
 
 def chain(hashes: np.ndarray) -> np.ndarray:
@@ -153,21 +156,56 @@ def commonness(docs: DataFrame) -> np.ndarray:
     return rank
 
 
+def _place(bounds: list[tuple]):
+    """Which range a row is in, by its id (null first) and tie; `bounds` begin all but the first."""
+    nulls = [tie for doc_id, tie in bounds if doc_id is None]
+    others = [(doc_id, tie) for doc_id, tie in bounds if doc_id is not None]
+
+    @F.arrow_udf("long")
+    def place(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        tie = ties.to_numpy(zero_copy_only=False)
+        no_id = ids.is_null().to_numpy(zero_copy_only=False)
+        out = np.searchsorted(np.array(nulls, np.int64), tie, side="right")
+        at = np.flatnonzero(~no_id)
+        if len(at):
+            known = ids.drop_null().to_numpy(zero_copy_only=False)
+            firsts = np.array([x for x, _ in others], np.int64)
+            low = np.searchsorted(firsts, known, side="left")
+            high = np.searchsorted(firsts, known, side="right")
+            # rows of an id that begins a range go by their tie
+            for k in np.flatnonzero(low < high).tolist():
+                own = [t for _, t in others[low[k] : high[k]]]
+                high[k] = low[k] + np.searchsorted(own, tie[at[k]], side="right")
+            out[at] = len(nulls) + high
+        return pa.array(out, pa.int64())
+
+    return place
+
+
+def _bounds(keys: DataFrame, ranges: int) -> list[tuple]:
+    """Where ranges of about equally many rows begin, from a sample of SAMPLED_PER_RANGE rows for
+    each; it decides where rows are worked on, not what comes out."""
+    n = keys.count()
+    share = min(1.0, SAMPLED_PER_RANGE * ranges / max(n, 1))
+    rows = {(r["doc_id"], r["tie"]) for r in keys.sample(share, seed=3).collect()}
+    rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    step = max(1, len(rows) // ranges)
+    return rows[step::step]
+
+
 def _in_order(docs: DataFrame) -> DataFrame:
-    """Deal rows to ranges of doc_id, each with the row that follows it, in order.
+    """Deal rows to ranges of (doc_id, hash of text), each with the row that follows it, in order.
 
     A range has its own rows (last = 0) and the first row of the next range that has any
     (last = 1), or of the first range. A task then sees each row's successor without a global
-    order. The number of ranges is a few times that of shuffle partitions.
+    order. The number of ranges is a few times that of shuffle partitions; they hold about
+    equally many rows, however the ids lie. Rows that agree in both are in one range.
     """
     spark = docs.sparkSession
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    docs = docs.withColumn("tie", F.xxhash64("text"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    low, high = (low, high) if low is not None else (0, 0)
-    width = (high - low) // ranges + 1
-    docs = docs.withColumn(
-        "range", F.expr(f"coalesce((doc_id - {low}L) div {width}L, -1L)")
-    ).withColumn("tie", F.xxhash64("text"))
+    place = _place(_bounds(docs.select("doc_id", "tie"), ranges))
+    docs = docs.withColumn("range", place("doc_id", "tie"))
     firsts = docs.select("range", F.struct("doc_id", "tie").alias("at")).groupBy("range").agg(
         F.min("at").alias("at")
     )
@@ -265,8 +303,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     of the next document by doc_id (after the last: the first). Returns doc_id, n_chars,
     edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A null text is empty; texts too short for a choice of windows are one feature as a whole;
-    a null doc_id comes before all others; rows of one doc_id follow each other by a hash of
+    A null text is empty; a text shorter than a window is one feature as a whole; a null doc_id comes before all others; rows of one doc_id follow each other by a hash of
     their text; a single document follows itself; an empty table gives an empty result; other
     columns are ignored.
     """

@@ -282,6 +282,88 @@ def test_fingerprints(rows, docs):
     assert got[rows[0][0]].fingerprint == got[10010].fingerprint
 
 
+def plain_digest(raw, common):
+    """Features, chain as a list of sets of bits: window by window, feature by feature."""
+    from hearken.llm.common import mix
+    from hearken.llm.fingerprints import (
+        ENTROPY_CLASSES,
+        FEATURES_PER_FILTER,
+        FILTER_BITS,
+        HASHES,
+        LEAST_FEATURES,
+        LEAST_POPULAR,
+        SURROUNDING,
+        WINDOW as SIZE,
+        _rolling,
+    )
+
+    if len(raw) < SIZE:
+        hashes = [int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")]
+    else:
+        rows = []
+        for i in range(len(raw) - SIZE + 1):
+            window = raw[i : i + SIZE]
+            entropy = -sum(c / SIZE * math.log2(c / SIZE) for c in Counter(window).values())
+            kind = min(max(round(entropy * (ENTROPY_CLASSES - 1) / math.log2(SIZE)), 0), ENTROPY_CLASSES - 1)
+            hashed = int(_rolling(np.frombuffer(window, np.uint8))[0])
+            rows.append(((int(common[kind]) << 32) | hashed >> 32, hashed))
+        hashes, last, times = [], None, 0
+        leasts = [min(rows[i : i + SURROUNDING], key=lambda r: r[0])[0] for i in range(len(rows) - SURROUNDING + 1)]
+        for i, least in enumerate([*leasts, None]):
+            if least != last:
+                if times >= LEAST_POPULAR:
+                    near = rows[i - times : i - times + SURROUNDING]
+                    hashes.append(next(h for v, h in near if v == last))
+                last, times = least, 0
+            times += 1
+        best = sorted({h: v for v, h in rows}.items(), key=lambda x: x[1])[:LEAST_FEATURES]
+        hashes += [h for h, _ in best if h not in hashes]
+    filters = [set() for _ in range(-(-len(hashes) // FEATURES_PER_FILTER))]
+    for k, value in enumerate(hashes):
+        for _ in range(HASHES):
+            value = int(mix(np.array([(value + 0x9E3779B97F4A7C15) % (1 << 64)], np.uint64))[0])
+            filters[k // FEATURES_PER_FILTER].add(value % FILTER_BITS)
+    return filters
+
+
+def test_digests_equal_a_plain_form(rows):
+    from hearken.llm.fingerprints import ENTROPY_CLASSES, chain, features
+
+    common = np.random.default_rng(0).permutation(ENTROPY_CLASSES).astype(np.uint64)
+    for _, text in [*rows[:12], *rows[-12:]]:
+        raw = (text or "").encode()[:4000]
+        flags = chain(features(raw, common))
+        assert [set(np.flatnonzero(f).tolist()) for f in flags] == plain_digest(raw, common)
+
+
+def test_near_copies_of_any_length_are_alike(spark, rows):
+    long = next(t for _, t in rows if t and len(t.encode()) > 2000)
+    raw = long.encode().decode("utf-8", "ignore")
+    texts, sizes = [], (100, 200, 500, 505, 511, 512, 520, 700, 1500)
+    for n in sizes:
+        texts += [raw[:n], raw[:n] + " x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r.doc_id: r.near_next for r in fingerprint_report(docs).collect()}
+    alike = {n: got[2 * k] for k, n in enumerate(sizes)}
+    assert min(x for n, x in alike.items() if n >= 500) >= 0.9
+    # of about a hundred windows, two more may be among the most improbable
+    assert min(alike.values()) >= 0.75
+
+
+def test_fingerprints_of_distant_and_null_ids(spark, rows):
+    ids = [-(2**63), 2**63 - 1, 0, 1, 2, 10**17, None, None]
+    some = [(i, f"{k} " + (rows[k][1] or "")) for k, i in enumerate(ids)]
+    got = fingerprint_report(spark.createDataFrame(some, SCHEMA).repartition(3)).collect()
+    assert len(got) == len(some)
+    known = sorted((i, t) for i, t in some if i is not None)
+    digests = {r.doc_id: r.edited_sha256 for r in got}
+    for (i, t), (_, following) in zip(known, known[1:]):
+        cut = len(t) // 4
+        edited = t[: len(t) - cut] + following[:cut]
+        assert digests[i] == hashlib.sha256(edited.encode()).hexdigest()
+    assert fingerprint_report(spark.createDataFrame(some[:1], SCHEMA)).first().near_next == 1
+
+
 def test_tiling_finds_reordered_passages(spark):
     words = [f"w{i}" for i in range(60)]
     item = " ".join(words)
