@@ -95,7 +95,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL cannot express tokenizing and packing. A brute-force test of the rows is still missing.
+#: SQL cannot express language ID, tiling and tokenizing; the tests compare with plain forms.
 ORACLE_SQL = None
 
 
