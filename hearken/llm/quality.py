@@ -27,6 +27,7 @@ RIDGE = 4e-3
 LABELLED_RIDGE = 3e-2
 BINS = 1000
 LEAST_MASS = 0.5
+DEVIATIONS = 2.0
 STEP_SIZES = (1.0, 0.5, 0.25, 0.0625)
 
 _GROUPS = (
@@ -199,10 +200,19 @@ class PuClassifier:
         found = rows.mapInPandas(work, "positive boolean, bin long").groupBy("positive", "bin")
         for row in found.count().collect():
             counts[int(row.positive), row.bin] = row["count"]
+        # among the texts above a cut, the unlabelled ones are mostly good where their share is
+        # smallest against that of the positives; few rows make a share look smaller than it
+        # is, so cuts are judged by an upper bound, and those within the best bound count alike
         above = counts[:, ::-1].cumsum(axis=1)
-        unlabelled, positive = above / np.maximum(1, above[:, -1:])
+        n = np.maximum(1, above[:, -1:])
+        unlabelled, positive = above / n
+        error_u, error_p = DEVIATIONS * np.sqrt(above / n * (1 - above / n) / n)
+        bound = (unlabelled + error_u) / np.maximum(positive - error_p, 1e-9)
         enough = positive >= LEAST_MASS
-        self.prior = float(np.clip((unlabelled[enough] / positive[enough]).min(), 0.01, 0.99))
+        least = bound[enough].min()
+        ratio = unlabelled[enough] / positive[enough]
+        near = ratio[ratio <= least]
+        self.prior = float(np.clip(near.mean() if len(near) else least, 0.01, 0.99))
 
     def fit(self, rows: DataFrame) -> None:
         """Minimise the non-negative PU risk by Newton steps, the best of a few lengths each."""

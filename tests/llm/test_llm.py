@@ -17,6 +17,7 @@ from hearken.llm.fingerprints import fingerprint_report  # noqa: E402
 from hearken.llm.language import identify  # noqa: E402
 from hearken.llm.ngram_join import jaccard_classes  # noqa: E402
 from hearken.llm.packing import harmonic_packing  # noqa: E402
+from hearken.llm.quality import quality_scores as QUALITY  # noqa: E402
 from hearken.llm.queries import QUERIES  # noqa: E402
 from hearken.llm.repeats import remove_repeats  # noqa: E402
 from hearken.llm.secrets import CLASSES, ORDINARY, PLACEHOLDER, WINDOW, secret_report  # noqa: E402
@@ -386,6 +387,32 @@ def test_quality_held_out(spark, sf_dir):
     assert not pairs or sum(pairs) / len(pairs) >= 0.9
 
 
+def test_quality_beats_the_commoner_label(spark):
+    """The estimated prior puts the cut where more labels are right than by one answer for all."""
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op1_quality_classifier"](spark, folder).collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet").collect()
+    held = [(got[r.doc_id].predicted, r.quality) for r in labels if got[r.doc_id].held_out]
+    right = np.mean([p == y for p, y in held])
+    assert right >= max(np.mean([y for _, y in held]), 0.85)
+
+
+def test_quality_of_awkward_rows(spark):
+    docs = [(i, f"good text number {i} about things that matter. " * 5) for i in range(60)]
+    docs += [(100 + i, "$$$ BUY!!! " * 9) for i in range(30)]
+    docs += [(200, None), (201, ""), (None, "no id"), (7, "again 7"), (202, "x" * 200_000)]
+    made = spark.createDataFrame(docs, SCHEMA).select("*", F.lit(1).alias("score"), F.lit(2).alias("positive"))
+    labels = spark.createDataFrame(
+        [(i, int(i < 60)) for i in range(0, 90, 2)] + [(None, 1), (2, None), (4, 0)],
+        "doc_id long, quality int",
+    )
+    got = QUALITY(made, labels).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in docs)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert QUALITY(made.limit(0), labels).count() == 0
+    assert {r.score for r in QUALITY(made, labels.limit(0)).collect()} == {0.5}
+
+
 def test_languages_declared(spark, sf_dir):
     got = QUERIES["op5_language_id"](spark, sf_dir).where("not rejected").collect()
     assert np.mean([r.lang == r.declared for r in got if r.declared]) >= 0.95
