@@ -2,6 +2,7 @@
 
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,13 @@ def texts(spark, sf_dir):
 CASES = [(units.LedIds, "byte_bpe_50k.json"), (units.SpacelessIds, "word_bpe_49k.json")]
 
 
+@lru_cache
+def library(name):
+    return units.load(public_tokenizers.path(name))
+
+
 def plain_ids(name, texts):
-    tokenizer = units.load(public_tokenizers.path(name))
+    tokenizer = library(name)
     return [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
