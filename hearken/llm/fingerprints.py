@@ -65,6 +65,22 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     return mix(value)
 
 
+def _rarest(values: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
+    """The LEAST_FEATURES least values of different windows, with their hashes."""
+    n = 4 * LEAST_FEATURES
+    while True:
+        some = np.arange(len(values))
+        if n < len(values):
+            some = np.flatnonzero(values <= np.partition(values, n)[n])
+        _, first = np.unique(hashes[some], return_index=True)
+        at = some[first]
+        at = at[np.lexsort((hashes[at], values[at]))[:LEAST_FEATURES]]
+        # equal windows may crowd out others: look further
+        if len(at) == LEAST_FEATURES or len(some) == len(values):
+            return [values[at], hashes[at]]
+        n *= 4
+
+
 def features(raw: bytes, commonness: np.ndarray) -> np.ndarray:
     """Hashes of the selected windows: those popular among their surroundings, in order, then
     the LEAST_FEATURES most improbable ones of all. A text shorter than a window is one."""
@@ -72,27 +88,23 @@ def features(raw: bytes, commonness: np.ndarray) -> np.ndarray:
         return np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)
     n = len(raw)
     rarest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-    found = []
+    found = [np.zeros(0, np.uint64)]
     # segments overlap, so that each run of surroundings is seen once as a whole
     for start in range(0, n - WINDOW + 1, SEGMENT):
         data = np.frombuffer(raw[start : start + SEGMENT + WINDOW + SURROUNDING - 2], np.uint8)
         hashed = _rolling(data)
         value = (commonness[entropy_classes(data)] << np.uint64(32)) | (hashed >> np.uint64(32))
         # windows of the next segment are seen there
-        values = np.append(rarest[0], value[:SEGMENT])
-        hashes = np.append(rarest[1], hashed[:SEGMENT])
-        _, at = np.unique(hashes, return_index=True)
-        at = at[np.argsort(values[at], kind="stable")[:LEAST_FEATURES]]
-        rarest = [values[at], hashes[at]]
+        rarest = _rarest(np.append(rarest[0], value[:SEGMENT]), np.append(rarest[1], hashed[:SEGMENT]))
         if len(value) < SURROUNDING:
             continue
         least = _sliding(value, SURROUNDING, np.minimum)
         edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]]))
         runs = np.diff(edges)
-        for at in edges[:-1][runs >= LEAST_POPULAR].tolist():
-            near = value[at : at + SURROUNDING]
-            found.append(hashed[at + int(np.argmin(near))])
-    popular = np.array(found, np.uint64)
+        at = edges[:-1][runs >= LEAST_POPULAR]
+        near = value[at[:, None] + np.arange(SURROUNDING)]
+        found.append(hashed[at + np.argmin(near, axis=1)])
+    popular = np.concatenate(found)
     return np.append(popular, rarest[1][~np.isin(rarest[1], popular)])
 
 
