@@ -69,9 +69,9 @@ def char_id(ch: ColumnLike, vocab: Vocabulary) -> Column:
 def encode_chars(text: ColumnLike, vocab: Vocabulary) -> Column:
     """Text as an array of character ids; null stays null.
 
-    A whole Arrow batch is looked up at once: its bytes become code points, these go through
-    the two levels of `page_table` by index. Per character this was measured faster than a
-    lookup in a lambda, and the constant grows by a page for each run of characters in use.
+    An Arrow batch is looked up in pieces of `PIECE_BYTES`: their bytes become code points, these
+    go through the two levels of `page_table` by index. Per character this was measured faster
+    than a lookup in a lambda, and the constant grows by a page for each run of characters in use.
     """
     page_of, ids = page_table(vocab)
     # beyond the last page everything is unknown
@@ -79,25 +79,46 @@ def encode_chars(text: ColumnLike, vocab: Vocabulary) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        import numpy as np
-
-        first, known = np.array(page_of), np.array(ids, np.int32)
-        flat = pc.fill_null(texts, "").cast(pa.large_binary())
-        offsets = np.frombuffer(flat.buffers()[1], np.int64)
-        offsets = offsets[flat.offset : flat.offset + len(flat) + 1]
-        data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        offsets = offsets - offsets[0]
-        codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        page = first[np.minimum(codes >> PAGE_BITS, len(first) - 1)]
-        found = known[page * PAGE + codes % PAGE]
-        # a character begins at each byte that continues none
-        begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        bounds = pa.array(begun[offsets].astype(np.int32), mask=np.append(_nulls(texts), False))
-        return pa.ListArray.from_arrays(bounds, pa.array(found))
+        return _batch_ids(texts, page_of, ids)
 
     return encode(as_column(text))
 
 
+# working space for one piece is some forty times this, whatever the batch or the text
+PIECE_BYTES = 1 << 18
+
+
+def _batch_ids(texts: pa.Array, page_of: Sequence[int], ids: Sequence[int]) -> pa.Array:
+    import numpy as np
+
+    first, known = np.array(page_of, np.int32), np.array(ids, np.int32)
+    flat = pc.fill_null(texts, "").cast(pa.large_binary())
+    offsets = np.frombuffer(flat.buffers()[1], np.int64)
+    offsets = offsets[flat.offset : flat.offset + len(flat) + 1]
+    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    # no text has more characters than bytes; what is left over is never touched
+    found = np.empty(len(data), np.int32)
+    bounds = np.zeros(len(offsets), np.int32)
+    low = done = 0
+    while low < len(data):
+        high = min(low + PIECE_BYTES, len(data))
+        # a character begins at each byte that continues none; no piece ends within one
+        while high < len(data) and data[high] & 0xC0 == 0x80:
+            high -= 1
+        piece = data[low:high]
+        codes = np.frombuffer(piece.tobytes().decode().encode("utf-32-le"), np.uint32)
+        page = first[np.minimum(codes >> PAGE_BITS, len(first) - 1)]
+        found[done : done + len(codes)] = known[page * PAGE + (codes % PAGE).astype(np.int32)]
+        begun = np.cumsum((piece & 0xC0) != 0x80, dtype=np.int32)
+        # texts that end in this piece
+        some = slice(*np.searchsorted(offsets, [low, high], side="right"))
+        bounds[some] = done + begun[offsets[some] - low - 1]
+        low, done = high, done + len(codes)
+    marked = pa.array(bounds, mask=np.append(_nulls(texts), False))
+    return pa.ListArray.from_arrays(marked, pa.array(found[:done]))
+
+
 def _nulls(values: pa.Array):
     return values.is_null().to_numpy(zero_copy_only=False)
 

@@ -2,10 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hearken.functions import encode_chars, normalize_full
+from hearken.functions import encode_chars, labels, normalize_full
 from hearken.functions.labels import PAGE, PADDING, UNKNOWN, WORD_MARK, page_table
 from hearken.operators import (
     best_run,
@@ -206,3 +207,25 @@ def test_batches_of_null_and_repeated_keys(spark):
     assert len(groups) == 30
     assert max(groups) < 300
     assert made.groupBy("megabatch", "batch").count().where("count > 10").count() == 0
+
+
+def test_encoding_needs_little_beside_its_result():
+    import tracemalloc
+
+    vocab = {"|": 0, "a": 1, "é": 2, "😀": 3, "[UNK]": 4, "[PAD]": 5}
+    page_of, ids = labels.page_table(vocab)
+    texts = ["a é😀?" * 100_000, None, "", *["aé ? 😀"] * 300_000, "x"]
+    batch = pa.array(texts).slice(1)
+    tracemalloc.start()
+    try:
+        got = labels._batch_ids(batch, [*page_of, 0], ids)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # the ids take four bytes for each byte of text at most
+    assert peak < 4 * batch.nbytes + 100 * labels.PIECE_BYTES
+    assert got.null_count == 1
+    assert got[1:4].to_pylist() == [[], [1, 2, 0, 4, 0, 3], [1, 2, 0, 4, 0, 3]]
+    assert got[300_000:].to_pylist() == [[1, 2, 0, 4, 0, 3]] * 2 + [[4]]
+    whole = labels._batch_ids(pa.array(texts[:1]), [*page_of, 0], ids)
+    assert whole.to_pylist() == [[1, 0, 2, 3, 4] * 100_000]
