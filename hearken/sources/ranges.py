@@ -6,14 +6,18 @@ open quote, or the depth of braces. So each range is first summed up by what it
 state, for each state it may begin in; a prefix scan over the ranges of a file, one small row
 each, gives the state every range really begins in; then each range cuts its own records. A record
 that reaches over ranges leaves a fragment in each of them, and these few are put together.
+
+A task takes several ranges where they are small, and the states reach the ranges by a join, so
+the work grows with the files and not with the number of ranges times the number of tasks.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from itertools import groupby
+from itertools import groupby, islice
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -55,6 +59,9 @@ def _json_chunk(text: str) -> tuple[int, int, int]:
 
 
 ROWS_PER_BATCH = 1_000
+# a task reads about this much, but each core has some tasks
+TASK_BYTES = 32 << 20
+TASKS_PER_CORE = 4
 
 CSV = Format("\n", _csv_chunk, depth=False)
 JSON_ARRAY = Format("}", _json_chunk, depth=True)
@@ -74,20 +81,38 @@ def _chunks(spark: SparkSession, path: str, separator: str) -> DataFrame:
     )
 
 
-def _by_range(frames) -> Iterator[tuple[str, int, Iterator[str]]]:
-    """The chunks of each range. A task holds whole ranges, one after the other."""
+def _packed(df: DataFrame) -> DataFrame:
+    """Whole partitions of a table as it is read, several to a task where they are small."""
+    spark = df.sparkSession
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    number, unit = re.fullmatch(r"(\d+)([a-z]?)b?", size.strip().lower()).groups()
+    partition_bytes = int(number) << 10 * " kmgtp".index(unit.replace("b", "") or " ")
+    there = df.rdd.getNumPartitions()
+    wanted = math.ceil(there * partition_bytes / TASK_BYTES)
+    tasks = max(wanted, TASKS_PER_CORE * spark.sparkContext.defaultParallelism)
+    return df.coalesce(tasks) if tasks < there else df
+
+
+def _by_range(frames) -> Iterator[tuple[tuple, Iterator[str]]]:
+    """The chunks of each range, under what all its rows share. A task holds whole ranges, one
+    after the other; the last column is the text."""
     rows = (
-        row for frame in frames for row in zip(frame["file"], frame["range"], frame["value"], strict=True)
+        row for frame in frames for row in zip(*(frame[c] for c in frame.columns), strict=True)
     )
-    for (file, at), some in groupby(rows, key=lambda row: row[:2]):
-        yield file, at, (text for *_, text in some)
+    for shared, some in groupby(rows, key=lambda row: row[:-1]):
+        yield shared, (row[-1] for row in some)
 
 
-def _summaries(form: Format):
-    def work(frames):
-        import pandas as pd
+def _batches(rows: Iterator[tuple], columns: Sequence[str]):
+    import pandas as pd
+
+    while some := list(islice(rows, ROWS_PER_BATCH)):
+        yield pd.DataFrame(some, columns=columns)
 
-        for file, at, texts in _by_range(frames):
+
+def _summaries(form: Format):
+    def rows(frames):
+        for (file, at), texts in _by_range(frames):
             quotes = outside = inside = 0
             for text in texts:
                 n, a, b = form.summary(text)
@@ -95,8 +120,10 @@ def _summaries(form: Format):
                 if quotes % 2:
                     a, b = b, a
                 quotes, outside, inside = quotes + n, outside + a, inside + b
-            row = (file, at, quotes, outside, inside)
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in _SUMMARY.split(", ")])
+            yield file, at, quotes, outside, inside
+
+    def work(frames):
+        yield from _batches(rows(frames), [c.split()[0] for c in _SUMMARY.split(", ")])
 
     return work
 
@@ -118,7 +145,7 @@ def _states(chunks: DataFrame, form: Format) -> DataFrame:
     )
 
 
-def _cut(form: Format, starts: dict[tuple[str, int], tuple[bool, int]]):
+def _cut(form: Format):
     def pieces(texts, inside, depth):
         """(begins, ends, text) of each record or fragment of a range."""
         begins, held = not (inside or depth), []
@@ -141,19 +168,13 @@ def _cut(form: Format, starts: dict[tuple[str, int], tuple[bool, int]]):
         if held:
             yield begins, False, "".join(held)
 
+    def rows(frames):
+        for (file, at, inside, depth), texts in _by_range(frames):
+            for number, piece in enumerate(pieces(texts, inside, depth)):
+                yield file, at, number, *piece
+
     def work(frames):
-        import pandas as pd
-
-        columns = [c.split()[0] for c in _RECORDS.split(", ")]
-        for file, at, texts in _by_range(frames):
-            rows = []
-            for number, piece in enumerate(pieces(texts, *starts.get((file, at), (False, 0)))):
-                rows.append((file, at, number, *piece))
-                if len(rows) == ROWS_PER_BATCH:
-                    yield pd.DataFrame(rows, columns=columns)
-                    rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=columns)
+        yield from _batches(rows(frames), [c.split()[0] for c in _RECORDS.split(", ")])
 
     return work
 
@@ -163,21 +184,28 @@ def read_records(spark: SparkSession, path: str, form: Format) -> tuple[DataFram
     within a record.
 
     `range` and `number` order the records of a file. The files are read twice: once for the
-    states, once for the records. The driver gets one entry for each range that begins within a
-    record, so at most one for each `spark.sql.files.maxPartitionBytes` of input.
+    states, once for the records, which are kept in the shared folder. Each executor gets one
+    small row for each range that begins within a record, so at most one for each
+    `spark.sql.files.maxPartitionBytes` of input.
     """
-    chunks = _chunks(spark, path, form.separator)
+    chunks = _packed(_chunks(spark, path, form.separator))
     place = scratch_path(spark, "ranges")
     _states(chunks, form).write.parquet(place)
     states = spark.read.parquet(place)
-    starts = {
-        (r["file"], r["range"]): (r["inside"], r["depth"])
-        for r in states.where("inside or depth <> 0").toLocalIterator()
-    }
+    starts = states.where("inside or depth <> 0").select("file", "range", "inside", "depth")
+    begun = chunks.join(F.broadcast(starts), ["file", "range"], "left").select(
+        "file",
+        "range",
+        F.coalesce("inside", F.lit(False)).alias("inside"),
+        F.coalesce("depth", F.lit(0)).alias("depth"),
+        "value",
+    )
     # the end of a JSON array reads like one more closing brace
     whole = F.col("left") == (-1 if form.depth else 0)
     broken = states.where(F.col("open") | ~whole).select("file").distinct()
-    cut = chunks.mapInPandas(_cut(form, starts), _RECORDS)
+    kept = scratch_path(spark, "records")
+    begun.mapInPandas(_cut(form), _RECORDS).write.parquet(kept)
+    cut = _packed(spark.read.schema(_RECORDS).parquet(kept))
     records = cut.where("begins and ends").select("file", "range", "number", "record")
     # a record over several ranges: each piece that begins one opens a group
     order = Window.partitionBy("file").orderBy("range", "number")

@@ -95,3 +95,15 @@ def test_broken_files(spark, tmp_path, small_ranges):
     rows = {r.audio_path: r._corrupt for r in kept.collect()}
     assert rows["a"] is None
     assert len(rows) == 2
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, small_ranges):
+    rows = [(f"rec/{k}.wav", f"line {k}\nof a text " + "y" * 300) for k in range(1500)]
+    lines = ["audio_path,text", *(f'{p},"{t}"' for p, t in rows)]
+    (tmp_path / "a.csv").write_text("\n".join(lines))
+    records, broken = read_records(spark, str(tmp_path / "a.csv"), CSV)
+    assert records.rdd.getNumPartitions() < 50
+    assert records.select("range").distinct().count() > 200
+    assert broken.isEmpty()
+    got = read_annotations_csv(spark, str(tmp_path / "a.csv"), in_ranges=True)
+    assert counted(got) == sorted(map(repr, rows))
