@@ -184,15 +184,18 @@ def json_in_ranges(spark, d):
 
 
 def bad_json_files(spark, d):
-    """Files of one array each; those of one role are cut short."""
+    """Files of one array each, some cut short. A task writes its files into one folder, so there
+    are as many folders to move and to list as tasks, not as conversations."""
     path = scratch_path(spark, "json")
-    rows = utt(spark, d).groupBy("conv_id").agg(
+    # a number of its own: these tasks have little to read but many files to make
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = utt(spark, d).repartition(tasks, "conv_id").groupBy("conv_id").agg(
         F.min("turn").alias("turn"), F.to_json(F.collect_list(F.struct("path"))).alias("value")
     )
     cut = F.when(F.col("conv_id") % 3 == 0, F.expr("left(value, length(value) - 2)"))
-    rows.select("conv_id", cut.otherwise(F.col("value")).alias("value")).write.partitionBy(
-        "conv_id"
-    ).text(path)
+    rows.select(
+        F.spark_partition_id().alias("part"), cut.otherwise(F.col("value")).alias("value")
+    ).write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
     found = read_annotations_json(spark, f"{path}/*", "path string", mode="quarantine")
     bad = F.col("_corrupt").isNotNull()
     return found.groupBy(bad.alias("bad")).agg(
