@@ -193,6 +193,7 @@ def read_records(spark: SparkSession, path: str, form: Format) -> tuple[DataFram
     _states(chunks, form).write.parquet(place)
     states = spark.read.parquet(place)
     starts = states.where("inside or depth <> 0").select("file", "range", "inside", "depth")
+    # the hint is needed, not advice: a shuffle would mix up the chunks of a range
     begun = chunks.join(F.broadcast(starts), ["file", "range"], "left").select(
         "file",
         "range",
