@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -32,26 +33,43 @@ FILTER_BITS = 2048
 FEATURES_PER_FILTER = 160
 HASHES = 5
 SEGMENT = 1 << 19
+# so much is worked through at once, so that short texts cost no calls of their own
+SLICE = 1 << 17
+GROUP = 1 << 20
+ROWS = 500
 _F = np.array([c * np.log2(c) if c else 0.0 for c in range(WINDOW + 2)])
+_STEP = np.diff(_F)
 
 
-def entropy_classes(data: np.ndarray) -> np.ndarray:
-    """Entropy class of each window, from counts that change by one byte in and one out."""
-    n = len(data)
-    order = np.argsort(data, kind="stable")
-    key = data[order].astype(np.int64) * (n + 2 * WINDOW) + order
-    rank = np.arange(n)
-    # occurrences of the same byte among the WINDOW - 1 before, and among WINDOW from it on
-    before, ahead = np.empty(n, np.int64), np.empty(n, np.int64)
-    before[order] = rank - np.searchsorted(key, key - (WINDOW - 1))
-    ahead[order] = np.searchsorted(key, key + WINDOW) - rank
-    enters = _F[before + 1] - _F[before]
-    leaves = _F[ahead] - _F[ahead - 1]
+def _equals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of the WINDOW - 1 bytes before each byte equal it, and of as many after it."""
+    before, after = np.zeros(len(data), np.uint8), np.zeros(len(data), np.uint8)
+    for k in range(1, min(WINDOW, len(data))):
+        same = (data[k:] == data[:-k]).view(np.uint8)
+        before[k:] += same
+        after[:-k] += same
+    return before, after
+
+
+def entropy_classes(data: np.ndarray, offsets: np.ndarray | None = None) -> np.ndarray:
+    """Entropy class of each window, from counts that change by one byte in and one out.
+
+    `data` is one run of bytes, or those that `offsets` bound, of at least WINDOW bytes each; the
+    windows of all runs follow each other, and none reaches from one into the next.
+    """
+    offsets = np.array([0, len(data)]) if offsets is None else offsets
+    before, after = _equals(data)
+    change = _STEP[before[WINDOW:]] - _STEP[after[: len(data) - WINDOW]]
     # the first window grows from nothing; from then on each byte in has one out
-    first = np.bincount(data[:WINDOW], minlength=256)
-    total = _F[first].sum() + np.concatenate(
-        [[0.0], np.cumsum(enters[WINDOW:] - leaves[: n - WINDOW])]
-    )
+    runs = np.arange(len(offsets) - 1)
+    firsts = data[offsets[:-1, None] + np.arange(WINDOW)] + 256 * runs[:, None]
+    firsts = np.bincount(firsts.ravel(), minlength=256 * len(runs)).reshape(-1, 256)
+    windows = np.diff(offsets) - (WINDOW - 1)
+    ends = np.cumsum(windows)
+    total = np.zeros(ends[-1])
+    for start, end, n in zip(offsets.tolist(), ends.tolist(), windows.tolist(), strict=False):
+        np.cumsum(change[start : start + n - 1], out=total[end - n + 1 : end])
+    total += np.repeat(_F[firsts].sum(axis=1), windows)
     entropy = np.log2(WINDOW) - total / WINDOW
     scaled = np.rint(entropy * (ENTROPY_CLASSES - 1) / np.log2(WINDOW)).astype(np.int64)
     return np.clip(scaled, 0, ENTROPY_CLASSES - 1)
@@ -81,43 +99,102 @@ def _rarest(values: np.ndarray, hashes: np.ndarray) -> list[np.ndarray]:
         n *= 4
 
 
-def features(raw: bytes, commonness: np.ndarray) -> np.ndarray:
-    """Hashes of the selected windows: those popular among their surroundings, in order, then
-    the LEAST_FEATURES most improbable ones of all. A text shorter than a window is one."""
-    if len(raw) < WINDOW:
-        return np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64)
-    n = len(raw)
-    rarest = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-    found = [np.zeros(0, np.uint64)]
+def _popular(value: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows popular among their surroundings, in order, and each run's range of
+    them; `windows` is how many each run has."""
+    run = np.repeat(np.arange(len(windows)), windows)
+    inner = np.flatnonzero(run[: 1 - SURROUNDING] == run[SURROUNDING - 1 :])
+    if not len(inner):
+        return inner, np.zeros(len(windows) + 1, np.int64)
+    least, run = _sliding(value, SURROUNDING, np.minimum)[inner], run[inner]
+    differ = (least[1:] != least[:-1]) | (run[1:] != run[:-1])
+    edges = np.flatnonzero(np.concatenate([[True], differ, [True]]))
+    edges = edges[:-1][np.diff(edges) >= LEAST_POPULAR]
+    near = value[inner[edges, None] + np.arange(SURROUNDING)]
+    bounds = np.searchsorted(run[edges], np.arange(len(windows) + 1))
+    return inner[edges] + np.argmin(near, axis=1), bounds
+
+
+def _segments(raws: Iterable[bytes], overlap: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Texts of at least a window in runs of SEGMENT windows, which overlap, about SLICE bytes at
+    once: the text of each run, the bytes of all and where each begins among them."""
+    held, size = [], 0
+    for i, raw in enumerate(raws):
+        for start in range(0, len(raw) - WINDOW + 1, SEGMENT):
+            held.append((i, raw[start : start + SEGMENT + WINDOW - 1 + overlap]))
+            size += len(held[-1][1])
+            if size >= SLICE:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[int, bytes]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join([part for _, part in held]), np.uint8)
+    return [i for i, _ in held], data, np.cumsum([0, *(len(part) for _, part in held)])
+
+
+def features_of(raws: list[bytes], commonness: np.ndarray) -> list[np.ndarray]:
+    """For each text the hashes of the selected windows: those popular among their surroundings,
+    in order, then the LEAST_FEATURES most improbable ones of all. A text shorter than a window
+    is one."""
+    popular: list[list[np.ndarray]] = [[] for _ in raws]
+    rarest: dict[int, list[np.ndarray]] = {}
     # segments overlap, so that each run of surroundings is seen once as a whole
-    for start in range(0, n - WINDOW + 1, SEGMENT):
-        data = np.frombuffer(raw[start : start + SEGMENT + WINDOW + SURROUNDING - 2], np.uint8)
-        hashed = _rolling(data)
-        value = (commonness[entropy_classes(data)] << np.uint64(32)) | (hashed >> np.uint64(32))
-        # windows of the next segment are seen there
-        rarest = _rarest(np.append(rarest[0], value[:SEGMENT]), np.append(rarest[1], hashed[:SEGMENT]))
-        if len(value) < SURROUNDING:
+    for texts, data, offsets in _segments(raws, SURROUNDING - 1):
+        windows = np.diff(offsets) - (WINDOW - 1)
+        inside = np.ones(len(data) - WINDOW + 1, bool)
+        inside[(offsets[1:-1, None] - np.arange(1, WINDOW)).ravel()] = False
+        hashed = _rolling(data)[inside]
+        classes = entropy_classes(data, offsets)
+        value = (commonness[classes] << np.uint64(32)) | (hashed >> np.uint64(32))
+        at, bounds = _popular(value, windows)
+        chosen = hashed[at]
+        ends = np.cumsum(windows).tolist()
+        for k, (i, end, n) in enumerate(zip(texts, ends, windows.tolist(), strict=True)):
+            popular[i].append(chosen[bounds[k] : bounds[k + 1]])
+            # windows of the next segment are seen there
+            own = slice(end - n, end - n + min(n, SEGMENT))
+            some = value[own], hashed[own]
+            if i in rarest:
+                some = [np.append(x, y) for x, y in zip(rarest[i], some, strict=True)]
+            rarest[i] = _rarest(*some)
+    out = []
+    for i, raw in enumerate(raws):
+        if i not in rarest:
+            out.append(np.frombuffer(hashlib.blake2b(raw, digest_size=8).digest(), np.uint64))
             continue
-        least = _sliding(value, SURROUNDING, np.minimum)
-        edges = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1], [True]]))
-        runs = np.diff(edges)
-        at = edges[:-1][runs >= LEAST_POPULAR]
-        near = value[at[:, None] + np.arange(SURROUNDING)]
-        found.append(hashed[at + np.argmin(near, axis=1)])
-    popular = np.concatenate(found)
-    return np.append(popular, rarest[1][~np.isin(rarest[1], popular)])
+        found = np.concatenate(popular[i])
+        rare = rarest[i][1]
+        out.append(np.append(found, rare[~(rare[:, None] == found).any(axis=1)]))
+    return out
 
 
-def chain(hashes: np.ndarray) -> np.ndarray:
-    """Bloom filters of the features, FEATURES_PER_FILTER to each, as rows of flags."""
-    n = -(-len(hashes) // FEATURES_PER_FILTER)
-    flags = np.zeros((n, FILTER_BITS), bool)
-    row = np.arange(len(hashes)) // FEATURES_PER_FILTER
-    value = hashes
+def features(raw: bytes, commonness: np.ndarray) -> np.ndarray:
+    """The features of one text."""
+    return features_of([raw], commonness)[0]
+
+
+def chains(hashes: list[np.ndarray]) -> list[np.ndarray]:
+    """For each text the Bloom filters of its features, FEATURES_PER_FILTER to each, as rows of
+    flags."""
+    sizes = np.array([len(h) for h in hashes])
+    ends = np.cumsum(-(-sizes // FEATURES_PER_FILTER))
+    flags = np.zeros((int(ends[-1]), FILTER_BITS), bool)
+    row = np.concatenate(
+        [np.arange(n) // FEATURES_PER_FILTER + end for n, end in zip(sizes, [0, *ends], strict=False)]
+    )
+    value = np.concatenate(hashes)
     for _ in range(HASHES):
         value = mix(value + np.uint64(0x9E3779B97F4A7C15))
         flags[row, value & np.uint64(FILTER_BITS - 1)] = True
-    return flags
+    return [flags[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+
+def chain(hashes: np.ndarray) -> np.ndarray:
+    """The chain of one text."""
+    return chains([hashes])[0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -136,6 +213,26 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(min(1.0, score / size_a.sum())) * min(1.0, size_a.sum() / size_b.sum())
 
 
+def _packed(flags: list[np.ndarray]) -> np.ndarray:
+    return np.packbits(np.concatenate(flags), axis=1).view(np.uint64)
+
+
+def likenesses(a: list[np.ndarray], b: list[np.ndarray]) -> list[float]:
+    """The likeness of each pair; pairs of single filters are compared at once."""
+    single = [k for k, (x, y) in enumerate(zip(a, b, strict=True)) if len(x) == len(y) == 1]
+    out = dict.fromkeys(range(len(a)), 0.0)
+    if single:
+        x, y = (_packed([side[k] for k in single]) for side in (a, b))
+        size_x, size_y, both = (np.bitwise_count(z).sum(axis=1).astype(float) for z in (x, y, x & y))
+        chance = size_x * size_y / FILTER_BITS
+        score = size_x * np.maximum(0.0, (both - chance) / (np.minimum(size_x, size_y) - chance))
+        found = np.minimum(1.0, score / size_x) * np.minimum(1.0, size_x / size_y)
+        out |= zip(single, found.tolist(), strict=True)
+    for k in out.keys() - set(single):
+        out[k] = likeness(a[k], b[k])
+    return list(out.values())
+
+
 def to_text(flags: np.ndarray) -> str:
     return base64.b64encode(np.packbits(flags, axis=1).tobytes()).decode()
 
@@ -143,11 +240,9 @@ def to_text(flags: np.ndarray) -> str:
 def _histogram(batches):
     total = np.zeros(ENTROPY_CLASSES, np.int64)
     for batch in batches:
-        for value in batch.column("text"):
-            raw = (value.as_py() or "").encode()
-            for start in range(0, len(raw) - WINDOW + 1, SEGMENT):
-                data = np.frombuffer(raw[start : start + SEGMENT + WINDOW - 1], np.uint8)
-                total += np.bincount(entropy_classes(data), minlength=ENTROPY_CLASSES)
+        raws = ((value.as_py() or "").encode() for value in batch.column("text"))
+        for _, data, offsets in _segments(raws, 0):
+            total += np.bincount(entropy_classes(data, offsets), minlength=ENTROPY_CLASSES)
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["class", "n"])
 
@@ -246,23 +341,39 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
 
 def _report(common):
-    def one(doc_id, text, own, after_text, after) -> tuple:
-        cut = len(text) // 4
-        edited = text[: len(text) - cut] + after_text[:cut]
-        raw = edited.encode()
-        changed = own if edited == text else chain(features(raw, common.value))
-        return (
-            doc_id,
-            len(text),
-            hashlib.sha256(raw).hexdigest(),
-            to_text(own),
-            to_text(changed),
-            likeness(own, changed),
-            likeness(own, after),
+    def reported(rows: list[tuple], before: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+        """Rows of the report, and the last of `rows` with its chain, which begins the next call."""
+        own = chains(features_of([text.encode() for *_, text in rows], common.value))
+        rows = before + [(*row, flags) for row, flags in zip(rows, own, strict=True)]
+        pairs = [(x, y) for x, y in pairwise(rows) if x[0] == y[0] and not x[1]]
+        edited, changed = [], []
+        for (*_, text, flags), (*_, after, _) in pairs:
+            cut = len(text) // 4
+            edited.append(text[: len(text) - cut] + after[:cut])
+            changed.append(flags if edited[-1] == text else None)
+        raws = [text.encode() for text in edited]
+        at = [k for k, flags in enumerate(changed) if flags is None]
+        if at:
+            found = chains(features_of([raws[k] for k in at], common.value))
+            for k, flags in zip(at, found, strict=True):
+                changed[k] = flags
+        flags = [x[-1] for x, _ in pairs]
+        out = list(
+            zip(
+                (doc_id for (_, _, doc_id, _, _), _ in pairs),
+                (len(text) for (_, _, _, text, _), _ in pairs),
+                (hashlib.sha256(raw).hexdigest() for raw in raws),
+                map(to_text, flags),
+                map(to_text, changed),
+                likenesses(flags, changed),
+                likenesses(flags, [y[-1] for _, y in pairs]),
+                strict=True,
+            )
         )
+        return out, rows[-1:]
 
-    def rows(batches) -> Iterator[tuple]:
-        held = None
+    def work(batches):
+        rows, size, before = [], 0, []
         for batch in batches:
             for where, last, doc_id, text in zip(
                 batch.column("range").to_pylist(),
@@ -271,20 +382,14 @@ def _report(common):
                 batch.column("text"),
                 strict=True,
             ):
-                text = text.as_py()
-                flags = chain(features(text.encode(), common.value))
-                if held is not None and held[0] == where:
-                    yield one(*held[1:], text, flags)
-                held = (where, doc_id, text, flags) if not last else None
-
-    def work(batches):
-        out = []
-        for row in rows(batches):
-            out.append(row)
-            if len(out) == 500:
-                yield _batch(out)
-                out = []
-        if out:
+                rows.append((where, last, doc_id, text.as_py()))
+                size += len(rows[-1][-1])
+                if len(rows) == ROWS or size >= GROUP:
+                    out, before = reported(rows, before)
+                    rows, size = [], 0
+                    if out:
+                        yield _batch(out)
+        if rows and (out := reported(rows, before)[0]):
             yield _batch(out)
 
     return work
@@ -334,6 +439,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def digest(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: to_text(chain(features((t or "").encode(), common.value))))
+        raws = [(t or "").encode() for t in texts]
+        groups = (raws[k : k + ROWS] for k in range(0, len(raws), ROWS))
+        found = (chains(features_of(some, common.value)) for some in groups)
+        return pd.Series([to_text(flags) for some in found for flags in some], dtype=object)
 
     return docs.withColumn("fingerprint", digest("text"))

@@ -337,6 +337,24 @@ def test_digests_equal_a_plain_form(rows):
         assert [set(np.flatnonzero(f).tolist()) for f in flags] == plain_digest(raw, common)
 
 
+def test_digests_of_texts_taken_at_once_equal_a_plain_form(rows, monkeypatch):
+    from hearken.llm import fingerprints
+
+    common = np.random.default_rng(1).permutation(fingerprints.ENTROPY_CLASSES).astype(np.uint64)
+    raws = [(text or "").encode()[:1500] for _, text in rows[:40]]
+    raws += [b"", b"a" * 63, b"a" * 64, b"ab" * 63, b"ab" * 64, bytes(range(256)) * 2]
+    calls, one = [], fingerprints.entropy_classes
+    monkeypatch.setattr(fingerprints, "entropy_classes", lambda *x: calls.append(1) or one(*x))
+    flags = fingerprints.chains(fingerprints.features_of(raws, common))
+    # a pass over all short texts, none of their own
+    assert len(calls) == 1
+    for raw, own in zip(raws, flags, strict=True):
+        assert [set(np.flatnonzero(f).tolist()) for f in own] == plain_digest(raw, common)
+    pairs = flags[:-1], flags[1:]
+    each = [fingerprints.likeness(x, y) for x, y in zip(*pairs, strict=True)]
+    assert fingerprints.likenesses(*pairs) == each
+
+
 def test_near_copies_of_any_length_are_alike(spark, rows):
     long = next(t for _, t in rows if t and len(t.encode()) > 2000)
     raw = long.encode().decode("utf-8", "ignore")
