@@ -36,8 +36,9 @@ from hearken.llm.units import (
     take,
 )
 
-SLICE = 1 << 21
-SLICES_PER_BLOCK = 8
+# a block is held by one task as a whole, with all its links: SLICE * SLICES_PER_BLOCK bytes of text
+SLICE = 1 << 20
+SLICES_PER_BLOCK = 4
 MARK = "▁"
 
 
@@ -254,6 +255,15 @@ def _sums(values: np.ndarray, ranges: np.ndarray) -> np.ndarray:
     return total[ranges[1:]] - total[ranges[:-1]]
 
 
+def _led(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all texts, each after a space, and their row offsets."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    large = lambda x: pa.scalar(x, pa.large_string())
+    led = pc.binary_join_element_wise(large(" "), texts, large(""))
+    ((_, data, offsets),) = text_slices(led, led.nbytes)
+    return data, offsets
+
+
 def _aligned(a_path: str, b_path: str):
     schema = pa.schema(
         [(n, pa.int64()) for n in ("block", "doc_id", "n_a", "n_b", "n_groups", "n_links")]
@@ -265,15 +275,12 @@ def _aligned(a_path: str, b_path: str):
         # a block is known by its task and its number; the rows are stored before they are read
         block, slices, pairs = TaskContext.get().partitionId() << 32, 0, BlockPairs()
         for batch in batches:
-            texts = pc.fill_null(batch.column("text"), "").cast(pa.large_string())
-            large = lambda x: pa.scalar(x, pa.large_string())
-            texts = pc.binary_join_element_wise(large(" "), texts, large(""))
-            for row, data, offsets in text_slices(texts, SLICE):
+            for row, _, offsets in text_slices(batch.column("text"), SLICE):
                 if slices == SLICES_PER_BLOCK:
                     yield listed(block, pairs)
                     block, slices, pairs = block + 1, 0, BlockPairs()
-                doc_ids = batch.column("doc_id").slice(row, len(offsets) - 1)
-                yield one_slice(block, pairs, doc_ids, data, offsets)
+                some = batch.slice(row, len(offsets) - 1)
+                yield one_slice(block, pairs, some.column("doc_id"), *_led(some.column("text")))
                 slices += 1
         if slices:
             yield listed(block, pairs)
@@ -292,6 +299,7 @@ def _aligned(a_path: str, b_path: str):
         at = known.entries(distinct)[at]
         numbers = known.values(AlignedParts.NUMBERS, at)[0].reshape(len(at), -1)
         sums = _sums(numbers, ranges)
+        del numbers
         # a text of its leading space alone, or one that its tokens do not spell, has no tokens
         good = (sums[:, -1] == np.diff(ranges)) & (np.diff(offsets) > 1)
         sums[~good] = 0
@@ -364,6 +372,8 @@ def link_counts(aligned: DataFrame) -> DataFrame:
 
 
 def _scored(kept: pa.Table, sums: pa.Table) -> pa.Table:
+    # workers are used again: what they know from aligning is not needed here
+    encoder.cache_clear()
     n = np.zeros(len(sums), np.int64)
     best = np.zeros(len(sums), np.int64)
     place = sums["place"].to_numpy()

@@ -138,3 +138,30 @@ def test_groups_and_overlaps(a, b):
     a_group, b_group = coalesce(a_starts, a_ends, b_starts, b_ends)
     assert all(a_group[p] == b_group[q] for p, q in want)
     assert a_group[-1] + 1 == len(set(a_ends.tolist()) & set(b_ends.tolist()))
+
+
+def test_a_task_holds_a_few_megabytes_of_texts(spark):
+    texts = [(k, f"{k} " + "the cat sat on the mat " * 4500) for k in range(60)]
+    docs = spark.createDataFrame(texts, SCHEMA).coalesce(1)
+    kept = stored(alignments(docs, A, B), "test-blocks")
+    rows = kept.where("pairs is null").select("block", "doc_id", F.size("links").alias("n")).collect()
+    sizes, by_id = Counter(), dict(texts)
+    for r in rows:
+        sizes[r.block] += len(by_id[r.doc_id]) + 1
+        assert r.n > 20_000
+    assert sorted(r.doc_id for r in rows) == list(range(60))
+    assert max(sizes.values()) <= 4 << 20
+
+
+def test_scoring_keeps_no_encoder(spark):
+    import pyarrow as pa
+
+    from hearken.llm.cross_align import _scored
+    from hearken.llm.units import encoder
+
+    encoder(dict, ((1, 2),))
+    kept = pa.table({"block": [0, 0], "doc_id": [1, 2], "links": pa.array([[0, 1, 0], []], pa.list_(pa.int32()))})
+    sums = pa.table({"place": [1, 0], "n": [5, 7], "best": [True, False]})
+    got = _scored(kept, sums)
+    assert got.to_pydict() == {"doc_id": [1, 2], "n_best": [1, 0], "count_sum": [19, 0]}
+    assert encoder.cache_info().currsize == 0
